@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import digest, html_extract, mixing, mjpeg, pieces
+from . import archive, digest, html_extract, mixing, mjpeg, ordinal, packing, passages, pieces, simhash
 from .common import read
 
 
@@ -15,6 +15,23 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(read(spark, sf_dir, "pages"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.archive_round_trip(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.link_documents(read(spark, sf_dir, "documents"), k=3, radius=2)
+
+
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated paragraphs with their class, and repeated passages inside paragraphs."""
+    return passages.repeats(read(spark, sf_dir, "documents")).drop("row")
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.fingerprints(read(spark, sf_dir, "documents"))
 
@@ -33,12 +50,21 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_chars", "n_pieces", "piece_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordinal.grade_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
+    "op2_packing": op2_packing,
+    "op3_warc": op3_warc,
+    "op4_simhash": op4_simhash,
+    "op5_repeats": op5_repeats,
     "op6_fingerprints": op6_fingerprints,
     "op7_mixing": op7_mixing,
     "op8_media": op8_media,
     "op9_pieces": op9_pieces,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
