@@ -2,9 +2,5 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import chunks, evaluation, store  # noqa: F401  (they register their queries)
+from .plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
