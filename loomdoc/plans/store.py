@@ -87,11 +87,11 @@ def g06_models(spark, sf_dir):
     return rows.groupBy("model").agg(F.round(F.avg("final_score"), 3).alias("avg_score"), F.round(100.0 * F.sum("valid_qa") / F.sum("total_qa"), 1).alias("valid_pct"), F.count(F.lit(1)).alias("runs"))
 
 
-@query("k04_trend", f"WITH {RESULTS} SELECT to_timestamp(created_at)::DATE::VARCHAR AS day, count(*) AS runs, round(avg(final_score), 5) AS avg_score FROM eva WHERE final_score IS NOT NULL GROUP BY 1")
+@query("k04_trend", f"WITH {RESULTS} SELECT to_timestamp(created_at)::DATE::VARCHAR AS day, count(*) AS runs, round(avg(final_score), 9) AS avg_score FROM eva WHERE final_score IS NOT NULL GROUP BY 1")
 def k04_trend(spark, sf_dir):
     _, eva = results(spark, sf_dir)
     day = F.date_format(F.to_date(F.timestamp_seconds("created_at")), "yyyy-MM-dd")
-    return eva.filter("final_score is not null").groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("runs"), F.round(F.avg("final_score"), 5).alias("avg_score"))
+    return eva.filter("final_score is not null").groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("runs"), F.round(F.avg("final_score"), 9).alias("avg_score"))
 
 
 @query("g18_overview", f"WITH {RESULTS} SELECT round(avg(final_score), 5) AS mean, min(final_score) AS low, max(final_score) AS high, count(*) AS runs, count(final_score) AS with_score FROM eva")
