@@ -112,10 +112,13 @@ def with_next(documents: DataFrame, buckets: int | None = None) -> DataFrame:
     bounds = sorted({*(found[0] or []), *([found[1]] if found[1] is not None else [])})
     n = max(1, len(bounds))
     at = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array(F.lit(0))
-    place = F.size(F.filter(at, lambda b: b <= key)) - 1
+    # number of bounds up to the id, by halving steps
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])
+    upto = F.aggregate(steps, F.lit(0), lambda p, s: F.when((p + s <= n) & (F.try_element_at(at, p + s) <= key), p + s).otherwise(p))
+    place = upto - 1
     own = F.struct(place.alias("bucket"), F.lit(0).alias("ghost"))
     head = F.struct(F.pmod(place - 1, F.lit(n)).alias("bucket"), F.lit(1).alias("ghost"))
-    dealt = docs.select(F.explode(F.when(F.array_contains(at, key), F.array(own, head)).otherwise(F.array(own))).alias("b"), "doc_id", "text")
+    dealt = docs.select(F.explode(F.when(F.try_element_at(at, upto) == key, F.array(own, head)).otherwise(F.array(own))).alias("b"), "doc_id", "text")
     dealt = dealt.select("b.bucket", "b.ghost", "doc_id", "text")
     return dealt.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "ghost", F.col("doc_id").asc_nulls_first(), "text")
 
