@@ -230,3 +230,16 @@ def test_titles_and_footers(spark):
     assert [r[0] for r in rows.select(T.without_title(F.col("t"), F.col("s"))).collect()] == ["rest", "T", "7. x\nrest", "a\n12\nhead\nb"]
     assert one(spark, "a\n12\nhead\nb\n1234", lambda t: T.without_footers(t, F.array(F.lit("head")))) == "a\nb\n1234"
     assert one(spark, "이 법은 개인정보의 처리에 관한 사항을 정한다", T.is_admin) is False and one(spark, "2023-01-01 AB-12", T.is_admin) is True
+
+
+def test_verdicts(spark):
+    from loomdoc.functions import verdicts
+
+    rows = ['{"relevance": 8.9, "groundedness": 12, "context_relevance": -1}', '```json\n{"relevance": 3}\n```', "no json", "", '{"completeness": 7.5, "coverage": 1.4}']
+    df = spark.createDataFrame([(x,) for x in rows], "t string")
+    assert [tuple(r[0]) for r in df.select(verdicts.triad(F.col("t"))).collect()] == [(0.8, 1.0, 0.0), (0.3, 0.6, 0.6), (0.65,) * 3, (0.65,) * 3, (0.6,) * 3]
+    assert [tuple(r[0]) for r in df.select(verdicts.completeness(F.col("t"))).collect()] == [(0.5, 0.5)] * 4 + [(0.75, 1.4)]
+    answers = ['{"qa_list": [{"q": "a?", "a": "b", "x": 1}]}', '[{"q": "c?"}]', 'Sure: {"qa_list": [{"q": "d?", "a": "e"}]} done', "nothing"]
+    df = spark.createDataFrame([(x,) for x in answers], "t string")
+    assert [[(p["q"], p["a"]) for p in r[0]] for r in df.select(verdicts.qa_list(F.col("t"))).collect()] == [[("a?", "b")], [("c?", None)], [("d?", "e")], []]
+    assert one(spark, "Gemini-2.5", verdicts.provider) == "google"
