@@ -150,7 +150,8 @@ def repeated_passages(documents: DataFrame, min_words: int = MIN_WORDS) -> DataF
     counts = written(counts, "units")
     placed = line_units(documents, min_words).join(counts, "unit")
     placed = written(placed, "placed")
-    first = placed.groupBy("unit").agg(F.min(F.struct("doc_id", "row", "line", "at")).alias("first"))
+    # a table of its own, so that the rows of a hot unit may be split in the join
+    first = written(placed.groupBy("unit").agg(F.min(F.struct("doc_id", "row", "line", "at")).alias("first")), "first")
     later = placed.join(first, "unit").filter(F.struct("doc_id", "row", "line", "at") != F.col("first"))
     per_line = later.groupBy("row", "doc_id", "line").agg(F.sort_array(F.collect_set(F.struct("at", "n_words", "unit", F.col("first.doc_id").alias("first_doc_id")))).alias("units"))
     # neighbouring units form a run: a unit starts one unless the unit before it is there
