@@ -52,7 +52,7 @@ def word_features(word: str) -> tuple[int, ...]:
 
 
 def text_features(text: str) -> np.ndarray:
-    return np.unique(np.array([f for w in set(text.split()) for f in word_features(w)], dtype=np.int64))
+    return np.unique(np.array([f for w in set(text.split()) for f in word_features(w)], dtype=np.int32))
 
 
 @dataclass
@@ -70,25 +70,30 @@ class Model:
 
 def telling(flat: np.ndarray, row: np.ndarray, grades: np.ndarray, least: int, deviations: float) -> np.ndarray:
     """Buckets that ``least`` rows have, and some grade's rows more or less often than chance by so many standard deviations."""
-    buckets, place, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    buckets, counts = np.unique(flat, return_counts=True)
+    buckets, counts = buckets[counts >= least], counts[counts >= least]
     best = np.zeros(len(buckets))
     for g in range(GRADES):
         share = min(max(np.mean(grades == g), 1e-9), 1 - 1e-9)
-        own = np.bincount(place, weights=(grades == g)[row], minlength=len(buckets))
+        seen, times = np.unique(flat[(grades == g)[row]], return_counts=True)
+        own = np.zeros(len(buckets))
+        if len(seen):
+            at = np.minimum(np.searchsorted(seen, buckets), len(seen) - 1)
+            own = np.where(seen[at] == buckets, times[at], 0)
         best = np.maximum(best, np.abs(own - counts * share) / np.sqrt(counts * share * (1 - share)))
-    return buckets[(counts >= least) & (best >= deviations)]
+    return buckets[best >= deviations]
 
 
 def fit(features: list[np.ndarray], grades: np.ndarray, rounds: int = 200, rate: float = 0.1, penalty: float = 5e-4, least: int = LEAST_DOCUMENTS, deviations: float = DEVIATIONS) -> Model | None:
     """Full-batch Adam on the ordinal likelihood, with an L2 penalty. None without rows."""
     if not len(features):
         return None
-    flat = np.concatenate([np.zeros(0, np.int64), *features])
-    row = np.repeat(np.arange(len(features)), [len(f) for f in features])
+    flat = np.concatenate([np.zeros(0, np.int32), *features])
+    row = np.repeat(np.arange(len(features), dtype=np.int32), [len(f) for f in features])
     buckets = telling(flat, row, grades, least, deviations)
-    place = np.searchsorted(buckets, flat)
-    used = (place < len(buckets)) & (buckets[np.minimum(place, len(buckets) - 1)] == flat) if len(buckets) else np.zeros(len(flat), bool)
-    row, place, n = row[used], place[used], len(features)
+    used = np.isin(flat, buckets)
+    row, place, n = row[used], np.searchsorted(buckets, flat[used]), len(features)
+    del flat, used
     # thresholds as a first one and logarithms of the gaps
     share = np.array([(np.sum(grades >= k) + 1) / (n + 2) for k in range(1, GRADES)])
     first = np.sort(-np.log(share / (1 - share)))
@@ -123,23 +128,23 @@ def grade_of():
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Fits on at most ``sample`` labelled rows. Only their features come to the driver."""
     chosen = labels.select(F.col("doc_id").cast("bigint").alias("label_id"), grade_of().alias("grade")).dropna().orderBy(F.xxhash64("label_id"), "label_id", "grade").limit(sample)
-    schema = pa.schema([("grade", pa.int32()), ("features", pa.list_(pa.int64()))])
+    schema = pa.schema([("grade", pa.int32()), ("features", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             own = [text_features(t or "") for t in b.column(b.schema.get_field_index("text")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.list_(pa.int32()))], schema=schema)
 
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # the sample is bounded by its parameter, so it may be broadcast
     joined = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select(F.col("grade").cast("int"), "text")
-    rows = joined.mapInArrow(run, "grade int, features array<bigint>").toArrow()
+    rows = joined.mapInArrow(run, "grade int, features array<int>").toArrow()
     found = rows.column("features").combine_chunks()
     ends = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(found).to_numpy())]) if len(found) else [0]
-    flat = found.flatten().to_numpy() if len(found) else np.zeros(0, np.int64)
+    flat = found.flatten().to_numpy() if len(found) else np.zeros(0, np.int32)
     features, grades = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])], rows.column("grade").to_numpy().astype(np.int64)
     # in an order of its own, so that the sum of rounding errors is the same at any partitioning
-    order = sorted(range(len(features)), key=lambda i: (int(grades[i]), features[i].tobytes()))
+    order = sorted(range(len(features)), key=lambda i: (int(grades[i]), len(features[i]), zlib.crc32(features[i].tobytes())))
     return fit([features[i] for i in order], grades[order])
 
 
