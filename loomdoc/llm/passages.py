@@ -4,10 +4,11 @@
 have a Jaccard similarity of 0.8 or more are linked, links become components, and of a component the first paragraph (by
 doc_id, then line) stays. Bands: 8 of 3 rows, so a pair at similarity 0.8 shares one with probability 0.997.
 
-*Passages inside paragraphs.* A substituted word leaves under 0.8 of a unit of fewer than 50 words, so for shorter units similar
-means equal but for their ends. Lines are cut into units at sentence ends (and, in sentences of over 40 words, after words that a hash
-picks), which depend on the words alone, so a passage gives the same units wherever it stands. Units whose words occur
-elsewhere before are repeated; runs of repeated units of at least ``min_words`` words are repeated passages.
+*Passages inside paragraphs.* Where a passage stands must not matter, so a passage is any sequence of ``min_words`` words (a gram) that
+occurs elsewhere before, exactly but for case and white space; overlapping and adjoining grams form a run, which is thus exact to the word.
+Not every gram is counted: the smallest hash of the short shingles inside a gram is its anchor (winnowing). Equal grams have
+equal anchors, so only the grams whose anchor occurs more than once, about a tenth of the words being anchors, are compared.
+The first copy of a gram (by doc_id, then place) stays; copies that lie in paragraphs that go count only if there is no other.
 
 Cases: null text counts as empty; repeated rows are one row; null doc_ids come first; empty tables give no rows. Other columns
 are passed on by ``drop_repeats``. A document of which nothing is left goes; lines without repeats stay as they are.
@@ -32,6 +33,9 @@ MIN_WORDS = 25
 #: Words of a unit at least; shorter sentences are joined with the next.
 UNIT = 8
 LONG, PICK = 40, 12
+#: Words of the shingles among whose hashes anchors are chosen.
+SHINGLE = 8
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
 END = re.compile(r"[.!?。…]['\")\]»”]*$")
 SENTENCES = re.compile(r"(?<=[.!?。…])\s+")
 
@@ -41,7 +45,7 @@ def normal(words: list[str]) -> bytes:
 
 
 def units(line: str) -> list[list[str]]:
-    """Words of each unit of a line."""
+    """Words of each unit of a line, cut at sentence ends and, in long sentences, after words a hash picks. Passages are not matched by them."""
     out: list[list[str]] = []
     now: list[str] = []
     for sentence in SENTENCES.split(line):
@@ -107,21 +111,154 @@ def paragraph_texts(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFra
     return _lines(documents, min_words, "node bigint, text string", each)
 
 
-def line_units(documents: DataFrame, min_words: int = MIN_WORDS, placed: bool = True) -> DataFrame:
-    """``unit`` (a hash of its words) of each unit of the paragraphs; placed: with ``doc_id, row, line, at, n_words`` besides."""
-    fields = [("unit", pa.int64())] + [("doc_id", pa.int64()), ("row", pa.int64()), ("line", pa.int32()), ("at", pa.int32()), ("n_words", pa.int32())] * placed
-    schema = pa.schema(fields)
+class WordHashes(dict):
+    """Hashes of words, kept for up to a million of them."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1_000_000:
+            self.clear()
+        self[word] = out = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 3)
+        return out
+
+
+def shifted(x: np.ndarray, by: int) -> np.ndarray:
+    """``x[i + by]`` at i; zero beyond the end."""
+    return np.concatenate([x[by:], np.zeros(min(by, len(x)), x.dtype)])
+
+
+def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the ``n`` words from each place on."""
+    out, have, power, width = None, 0, words, 1
+    mixed = lambda a, b: (x := (a * FACTOR + b) * FACTOR) ^ (x >> np.uint64(32))
+    while True:
+        if n & width:
+            out = power if out is None else mixed(out, shifted(power, have))
+            have += width
+        if have == n:
+            return out
+        power, width = mixed(power, shifted(power, width)), 2 * width
+
+
+def slid(x: np.ndarray, n: int, least) -> np.ndarray:
+    """``least`` (np.minimum or np.maximum) of the ``n`` values from each place on."""
+    width = 1
+    while 2 * width <= n:
+        x, width = least(x, shifted(x, width)), 2 * width
+    return least(x, shifted(x, n - width)) if n > width else x
+
+
+class Words:
+    """The words of a batch of texts in one row: hashes, and for each its text, line, place in the text and the end of its stretch."""
+
+    def __init__(self, texts: list[str], hashes: WordHashes) -> None:
+        words: list[str] = []
+        counts, lines, own = [], [], []
+        for t in texts:
+            before, split = len(words), t.lower().split("\n")
+            for line in split:
+                w = line.split()
+                words += w
+                counts.append(len(w))
+            lines.append(len(split))
+            own.append(len(words) - before)
+        self.n = len(words)
+        self.hashes = np.fromiter(map(hashes.__getitem__, words), np.uint64, self.n)
+        self.text = np.repeat(np.arange(len(texts)), own)
+        starts = np.cumsum([0, *own])[:-1]
+        self.at = np.arange(self.n) - np.repeat(starts, own)
+        first_lines = np.cumsum([0, *lines])[:-1]
+        #: lines numbered over the batch, and in their texts
+        self.line_of_batch = np.repeat(np.arange(len(counts)), counts)
+        self.line = self.line_of_batch - np.repeat(first_lines, own)
+        self.first_lines, self.lines = first_lines, len(counts)
+        stretches = counts
+        self.end = np.repeat(np.cumsum(stretches), stretches)
+
+    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Short shingles, the anchor of the gram of ``n`` words from each place on (zero where none fits), and where one fits."""
+        k = min(SHINGLE, n)
+        short = gram_hashes(self.hashes, k) | np.uint64(1)
+        fits = np.arange(self.n) + n <= self.end
+        return short, np.where(fits, slid(short, n - k + 1, np.minimum), np.uint64(0)), fits
+
+
+def anchors(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``anchor, row`` of each place that is the anchor of a gram."""
+    schema = pa.schema([("anchor", pa.int64()), ("row", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in slices(batches, 2_000_000):
+            w = Words(b.column(2).to_pylist(), hashes)
+            if not w.n:
+                continue
+            short, least, _ = w.grams(min_words)
+            # the grams around a shingle have no larger anchors, so it is one's anchor if it is the largest of theirs
+            width = min_words - min(SHINGLE, min_words)
+            chosen = np.flatnonzero(slid(np.concatenate([np.zeros(width, np.uint64), least]), width + 1, np.maximum)[: w.n] == short)
+            yield pa.RecordBatch.from_arrays([pa.array(short[chosen].view(np.int64)), b.column(1).take(pa.array(w.text[chosen]))], schema=schema)
+
+    return _rows(documents).mapInArrow(run, "anchor bigint, row bigint")
 
-    def each(found: list[tuple]) -> pa.RecordBatch:
-        columns: list[list] = [[] for _ in fields]
-        for doc_id, row, line, words in found:
-            for at, own in enumerate(units(" ".join(words))):
-                if len(own) >= UNIT:
-                    for c, v in zip(columns, (signed(xxhash.xxh64_intdigest(normal(own), 11)), doc_id, row, line, at, len(own))):
-                        c.append(v)
-        return pa.RecordBatch.from_arrays([pa.array(c, f[1]) for c, f in zip(columns, fields)], schema=schema)
 
-    return _lines(documents, min_words, "unit bigint" + ", doc_id bigint, row bigint, line int, at int, n_words int" * placed, each)
+def placed_grams(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``gram, cut, doc_id, row, line, at`` of the grams of ``rows(doc_id, row, text, gone, anchors)`` that have one of the anchors.
+
+    ``gone`` are lines that go; cut tells that words of the gram lie in them, and grams that lie wholly in them are left out."""
+    schema = pa.schema([("gram", pa.int64()), ("cut", pa.bool_()), ("doc_id", pa.int64()), ("row", pa.int64()), ("line", pa.int32()), ("at", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in slices(batches, 2_000_000):
+            w = Words(b.column(2).to_pylist(), hashes)
+            if not w.n:
+                continue
+            _, least, fits = w.grams(min_words)
+            goes = np.zeros(w.lines, bool)
+            for start, lines in zip(w.first_lines.tolist(), b.column(3).to_pylist()):
+                if lines:
+                    goes[start + np.array(lines)] = True
+            before = np.concatenate([[0], np.cumsum(goes[w.line_of_batch]), np.zeros(min_words, np.int64)])
+            lost = before[min_words : min_words + w.n] - before[: w.n]
+            wanted = np.unique(b.column(4).flatten().to_numpy(zero_copy_only=False)).view(np.uint64)
+            chosen = np.flatnonzero(fits & (lost < min_words) & np.isin(least, wanted))
+            of = pa.array(w.text[chosen])
+            columns = [gram_hashes(w.hashes, min_words)[chosen].view(np.int64), lost[chosen] > 0, b.column(0).take(of), b.column(1).take(of), w.line[chosen], w.at[chosen]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if isinstance(c, np.ndarray) else c for c, f in zip(columns, schema)], schema=schema)
+
+    return rows.select("doc_id", "row", "text", "gone", "anchors").mapInArrow(run, "gram bigint, cut boolean, doc_id bigint, row bigint, line int, at int")
+
+
+def joined_runs(later: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Runs of the grams ``row, at, line, gram, doc_id, first_doc_id``, with the class and first document of their first gram."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("line", pa.int32()), ("n_words", pa.int32()), ("class_id", pa.int64()), ("first_doc_id", pa.int64()), ("from_unit", pa.int32()), ("to_unit", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_run: list | None = None
+
+        def out(runs: list[list]) -> pa.RecordBatch:
+            done = [(doc_id, row, line, to + 1 - at, gram, first, at, to) for row, at, line, gram, doc_id, first, to in runs]
+            return pa.RecordBatch.from_arrays([pa.array([x[j] for x in done], f.type) for j, f in enumerate(schema)], schema=schema)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            row, at = (b.column(j).to_numpy() for j in (0, 1))
+            starts = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (at[1:] > at[:-1] + min_words)]))
+            lasts = at[np.concatenate([starts[1:] - 1, [len(at) - 1]])] + min_words - 1
+            runs = [[*x.values(), to] for x, to in zip(b.take(pa.array(starts)).to_pylist(), lasts.tolist())]
+            if open_run is not None:
+                if open_run[0] == runs[0][0] and runs[0][1] <= open_run[-1] + 1:
+                    runs[0] = [*open_run[:-1], max(runs[0][-1], open_run[-1])]
+                else:
+                    runs.insert(0, open_run)
+            open_run = runs.pop()
+            yield out(runs)
+        if open_run is not None:
+            yield out([open_run])
+
+    rows = later.select("row", "at", "line", "gram", "doc_id", "first_doc_id").repartition("row").sortWithinPartitions("row", "at")
+    return rows.mapInArrow(run, "doc_id bigint, row bigint, line int, n_words int, class_id bigint, first_doc_id bigint, from_unit int, to_unit int")
 
 
 def repeated_paragraphs(documents: DataFrame, k: int = 5, similarity: float = 0.8, min_words: int = MIN_WORDS, most: int = 400) -> DataFrame:
@@ -144,36 +281,27 @@ def repeated_paragraphs(documents: DataFrame, k: int = 5, similarity: float = 0.
     return every.join(members, "node").select("doc_id", "row", "line", "n_words", "class_id", F.col("first.doc_id").alias("first_doc_id"), (F.struct("doc_id", "row", "line") == F.col("first")).alias("keep")).withColumn("from_unit", F.lit(-1)).withColumn("to_unit", F.lit(-1))
 
 
-def repeated_passages(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc_id, row, line, n_words, class_id, first_doc_id, keep, from_unit, to_unit``: runs of units that occur before."""
-    counts = line_units(documents, min_words, placed=False).groupBy("unit").count().filter("count > 1").select("unit")
-    counts = written(counts, "units")
-    placed = line_units(documents, min_words).join(counts, "unit")
-    placed = written(placed, "placed")
-    # a table of its own, so that the rows of a hot unit may be split in the join
-    first = written(placed.groupBy("unit").agg(F.min(F.struct("doc_id", "row", "line", "at")).alias("first")), "first")
-    later = placed.join(first, "unit").filter(F.struct("doc_id", "row", "line", "at") != F.col("first"))
-    per_line = later.groupBy("row", "doc_id", "line").agg(F.sort_array(F.collect_set(F.struct("at", "n_words", "unit", F.col("first.doc_id").alias("first_doc_id")))).alias("units"))
-    # neighbouring units form a run: a unit starts one unless the unit before it is there
-    start = lambda a, u: F.struct(F.when(F.size(a) > 0, F.element_at(a, -1)["to"] + 1 == u["at"]).otherwise(F.lit(False)).alias("goes_on"))
-    run = "array<struct<from:int,to:int,n_words:int,unit:bigint,first_doc_id:bigint>>"
-
-    def step(a, u):
-        last = F.element_at(a, -1)
-        longer = F.struct(last["from"].alias("from"), u["at"].alias("to"), (last["n_words"] + u["n_words"]).alias("n_words"), last["unit"].alias("unit"), F.least(last["first_doc_id"], u["first_doc_id"]).alias("first_doc_id"))
-        own = F.struct(u["at"].alias("from"), u["at"].alias("to"), u["n_words"].alias("n_words"), u["unit"].alias("unit"), u["first_doc_id"].alias("first_doc_id"))
-        return F.when(start(a, u)["goes_on"], F.concat(F.slice(a, 1, F.size(a) - 1), F.array(longer))).otherwise(F.concat(a, F.array(own))).cast(run)
-
-    runs = per_line.select("doc_id", "row", "line", F.explode(F.aggregate("units", F.array().cast(run), step)).alias("r")).filter(F.col("r.n_words") >= min_words)
-    return runs.select("doc_id", "row", "line", F.col("r.n_words").alias("n_words"), F.col("r.unit").alias("class_id"), F.col("r.first_doc_id").alias("first_doc_id"), F.lit(False).alias("keep"), F.col("r.from").alias("from_unit"), F.col("r.to").alias("to_unit"))
+def repeated_passages(documents: DataFrame, whole: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``doc_id, row, line, n_words, class_id, first_doc_id, keep, from_unit, to_unit``: runs of words that occur before, where ``whole`` has
+    the repeated paragraphs. Units are the words of the text, numbered from 0; line is the one in which the run starts."""
+    every = written(anchors(documents, min_words), "anchors")
+    again = written(every.groupBy("anchor").count().filter("count > 1").select("anchor"), "again")
+    # a table of its own, so that the rows of a hot anchor may be split in the join; so with the grams
+    todo = every.join(again, "anchor").groupBy("row").agg(F.collect_set("anchor").alias("anchors"))
+    gone = whole.filter("not keep").groupBy("row").agg(F.collect_set("line").alias("gone"))
+    placed = written(placed_grams(_rows(documents).join(todo, "row").join(gone, "row", "left"), min_words), "placed")
+    place = F.struct("cut", "doc_id", "row", "at")
+    first = placed.groupBy("gram").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").select("gram", "first")
+    later = placed.join(written(first, "first"), "gram").filter(place != F.col("first")).withColumn("first_doc_id", F.col("first.doc_id"))
+    found = joined_runs(later, min_words).withColumn("keep", F.lit(False))
+    return found.select("doc_id", "row", "line", "n_words", "class_id", "first_doc_id", "keep", "from_unit", "to_unit")
 
 
 def repeats(documents: DataFrame, k: int = 5, similarity: float = 0.8, min_words: int = MIN_WORDS) -> DataFrame:
     """Members of repeated-paragraph classes (``from_unit`` -1) and repeated passages inside paragraphs, with their class, the
-    document where it is first, and whether this copy stays. Passages of paragraphs that go are not told again."""
+    document where it is first, and whether this copy stays. Passages that lie in paragraphs that go are not told again."""
     whole = written(repeated_paragraphs(documents, k, similarity, min_words), "repeated")
-    inner = repeated_passages(documents, min_words).join(whole.filter("not keep").select("row", "line"), ["row", "line"], "left_anti")
-    return whole.unionByName(inner)
+    return whole.unionByName(repeated_passages(documents, whole, min_words))
 
 
 def drop_repeats(documents: DataFrame, k: int = 5, similarity: float = 0.8, min_words: int = MIN_WORDS) -> DataFrame:
@@ -198,18 +326,25 @@ def drop_repeats(documents: DataFrame, k: int = 5, similarity: float = 0.8, min_
 
 
 def without(text: str, gone: list[dict]) -> str:
-    """``text`` without whole lines (from_unit -1) and runs of units of lines."""
-    cuts: dict[int, list[tuple[int, int]]] = {}
-    for g in gone:
-        cuts.setdefault(g["line"], []).append((g["from_unit"], g["to_unit"]))
-    out = []
+    """``text`` without whole lines (from_unit -1) and runs of words; lines of which nothing is left go."""
+    whole = {g["line"] for g in gone if g["from_unit"] < 0}
+    runs = sorted((g["from_unit"], g["to_unit"]) for g in gone if g["from_unit"] >= 0)
+    out, at, r = [], 0, 0
     for i, line in enumerate(text.split("\n")):
-        if i in cuts:
-            if any(a < 0 for a, _ in cuts[i]):
-                continue
-            left = [w for j, own in enumerate(units(" ".join(line.split()))) if not any(a <= j <= b for a, b in cuts[i]) for w in own]
-            if not left:
-                continue
-            line = " ".join(left)
-        out.append(line)
+        words = line.split()
+        end = at + len(words)
+        while r < len(runs) and runs[r][1] < at:
+            r += 1
+        if i not in whole:
+            cuts, j = [], r
+            while j < len(runs) and runs[j][0] < end:
+                cuts.append(runs[j])
+                j += 1
+            if cuts:
+                left = [w for p, w in enumerate(words, at) if not any(a <= p <= b for a, b in cuts)]
+                if left:
+                    out.append(" ".join(left))
+            else:
+                out.append(line)
+        at = end
     return "\n".join(out)

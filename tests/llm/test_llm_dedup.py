@@ -145,3 +145,29 @@ def test_units_depend_on_their_words_alone():
     a = passages.units("start of it One two three four five six seven eight nine. Next one has eight words in it here. End")
     b = passages.units("Next one has eight words in it here. Other")
     assert a[1] == b[0] and [w for u in a for w in u] == "start of it One two three four five six seven eight nine. Next one has eight words in it here. End".split()
+
+
+def test_passages_are_exact_wherever_they_are_cut(spark):
+    # passages of 25 words and more, cut anywhere in long and in unpunctuated sentences, against a plain loop over all places
+    rng = random.Random(21)
+    prose = lambda n: [f"q{rng.randrange(10**6)}" + ("." if j % 20 == 19 else "") for j in range(n)]
+    sources = [prose(150) for _ in range(6)] + [[f"z{rng.randrange(10**6)}" for _ in range(150)] for _ in range(6)]
+    texts = [" ".join(x) for x in sources]
+    for x in sources:
+        for n in (24, 25, 40, 51):
+            at = rng.randrange(150 - n)
+            texts.append(" ".join(prose(rng.randrange(30, 60)) + x[at : at + n] + prose(rng.randrange(30, 60))))
+    # the first copy of the start of a passage is not in the first copy of the passage; and places that overlap each other
+    other = [f"v{rng.randrange(10**6)}" for _ in range(30)]
+    texts += [" ".join(other[:10] + prose(40)), " ".join(prose(40) + other), " ".join(other + prose(50)), " ".join(["same"] * 60)]
+    seen, want = set(), set()
+    for i, t in enumerate(texts):
+        w, covered = t.split(), set()
+        for j in range(len(w) - 24):
+            if (g := tuple(w[j : j + 25])) in seen:
+                covered |= set(range(j, j + 25))
+            seen.add(g)
+        want |= {(i, p) for p in covered}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {(r["doc_id"], p) for r in passages.repeats(docs).filter("from_unit >= 0").collect() for p in range(r["from_unit"], r["to_unit"] + 1)}
+    assert got == want and len({i for i, _ in want}) >= 38
