@@ -4,7 +4,7 @@
 have a Jaccard similarity of 0.8 or more are linked, links become components, and of a component the first paragraph (by
 doc_id, then line) stays. Bands: 8 of 3 rows, so a pair at similarity 0.8 shares one with probability 0.997.
 
-*Passages inside paragraphs.* Where a passage stands must not matter, so a passage is any sequence of ``min_words`` words (a gram) that
+*Passages.* The words of a text are one sequence, whatever lines they stand in. Where a passage stands must not matter, so a passage is any sequence of ``min_words`` words (a gram) that
 occurs elsewhere before, exactly but for case and white space; overlapping and adjoining grams form a run, which is thus exact to the word.
 Not every gram is counted: the smallest hash of the short shingles inside a gram is its anchor (winnowing). Equal grams have
 equal anchors, so only the grams whose anchor occurs more than once, about a tenth of the words being anchors, are compared.
@@ -148,7 +148,7 @@ def slid(x: np.ndarray, n: int, least) -> np.ndarray:
 
 
 class Words:
-    """The words of a batch of texts in one row: hashes, and for each its text, line, place in the text and the end of its stretch."""
+    """The words of a batch of texts in one row: hashes, and for each its text, line, place in the text and the end of the text."""
 
     def __init__(self, texts: list[str], hashes: WordHashes) -> None:
         words: list[str] = []
@@ -171,8 +171,7 @@ class Words:
         self.line_of_batch = np.repeat(np.arange(len(counts)), counts)
         self.line = self.line_of_batch - np.repeat(first_lines, own)
         self.first_lines, self.lines = first_lines, len(counts)
-        stretches = counts
-        self.end = np.repeat(np.cumsum(stretches), stretches)
+        self.end = np.repeat(np.cumsum(own), own)
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Short shingles, the anchor of the gram of ``n`` words from each place on (zero where none fits), and where one fits."""

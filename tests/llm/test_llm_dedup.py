@@ -171,3 +171,29 @@ def test_passages_are_exact_wherever_they_are_cut(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
     got = {(r["doc_id"], p) for r in passages.repeats(docs).filter("from_unit >= 0").collect() for p in range(r["from_unit"], r["to_unit"] + 1)}
     assert got == want and len({i for i, _ in want}) >= 38
+
+
+def test_passages_in_short_lines_and_over_line_breaks(spark):
+    rng = random.Random(4)
+    words = lambda n: [f"s{rng.randrange(10**6)}" for _ in range(n)]
+    passage, ends = words(60), [words(12) for _ in range(4)]
+    wrap = lambda w, n: "\n".join(" ".join(w[j : j + n]) for j in range(0, len(w), n))
+    docs = spark.createDataFrame(
+        [(1, f"{' '.join(ends[0])}\n{wrap(passage, 7)}\n\n{' '.join(ends[1])}", 0), (2, f"{' '.join(ends[2])}\n\n{wrap(passage, 9)} {' '.join(ends[3])}", 0), (3, wrap(passage[:24], 5), 0), (4, wrap(passage[30:55], 5), 0)],
+        "doc_id bigint, text string, n_chars bigint",
+    )
+    found = {(r["doc_id"], r["line"], r["n_words"], r["first_doc_id"], r["from_unit"], r["to_unit"]) for r in passages.repeats(docs).collect()}
+    assert found == {(2, 2, 60, 1, 12, 71), (4, 0, 25, 1, 0, 24)}
+    left = {r["doc_id"]: r["text"] for r in passages.drop_repeats(docs).collect()}
+    assert left == {1: docs.first()["text"], 2: f"{' '.join(ends[2])}\n\n{' '.join(ends[3])}", 3: wrap(passage[:24], 5)}
+
+
+def test_a_passage_outlives_a_paragraph_that_goes(spark):
+    # the paragraph of document 2 goes as a near copy; the words in which it differs stay once, in document 3
+    rng = random.Random(6)
+    words = lambda n: [f"t{rng.randrange(10**6)}" for _ in range(n)]
+    line, start = words(400), words(40)
+    near = line[:200] + words(20) + line[200:]
+    kept = " ".join(start + near[198:224])
+    docs = spark.createDataFrame([(1, " ".join(line)), (2, " ".join(near)), (3, kept)], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["text"] for r in passages.drop_repeats(docs).collect()} == {1: " ".join(line), 3: kept}
