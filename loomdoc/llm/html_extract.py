@@ -30,11 +30,11 @@ BLOCKS = frozenset(
 #: Elements that are tracked as open; the others (p, li, b, ...) are often left unclosed and need no tracking.
 CONTAINERS = frozenset(
     "article aside blockquote body div details dialog fieldset figure footer form header main nav ol section table template ul menu "
-    "noscript svg math iframe object audio video canvas button select textarea label head title span dl search".split()
+    "noscript svg math iframe object audio video canvas button select textarea label head title span dl search script style".split()
 )
 NEVER = frozenset(
     "nav header footer aside form noscript template svg math iframe object audio video canvas button select textarea dialog menu head "
-    "title search fieldset".split()
+    "title search fieldset script style".split()
 )
 #: What an article or main element closes, if it was left open around it.
 YIELDING = frozenset("nav header form fieldset head title button label select".split())
@@ -102,7 +102,7 @@ class PageLines(HTMLParser):
                         break
             named = dict(attrs)
             skip = tag in NEVER or bool(attrs) and tag != "body" and tag != "main" and marked(named)
-            if skip and tag not in BLOCKS:
+            if skip and tag not in BLOCKS and tag not in ("script", "style"):
                 self.parts.append(" ")
             self.parents.append(self.open[-1][1] if self.open else 0)
             self.kinds.append("main" if named.get("role") == "main" else tag)

@@ -37,3 +37,9 @@ def test_rows(spark):
     rows = spark.createDataFrame([(1, None, None, 5), (2, "u", "<p>é</p>", 6), (2, "u", "<p>é</p>", 6)], "page_id bigint, url string, html string, text int")
     assert sorted(tuple(r) for r in extract_pages(rows).fillna("").collect()) == [(1, "", "", 0), (2, "u", "é", 1), (2, "u", "é", 1)]
     assert extract_pages(rows.limit(0)).count() == 0
+
+
+def test_scripts_and_styles_in_the_article():
+    page = "<body><article><p>a</p><script>var x=1;</script><style>p{color:red}</style><p>b<script>if (1 < 2) y('<p>no</p>')</script>c <style>i{}</style>d</p></article><script>z()</script></body>"
+    assert main_text(page) == "a\nbc d"
+    assert main_text("<script>x</script><p>text</p><style>y</style>") == "text"
