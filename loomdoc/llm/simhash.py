@@ -133,7 +133,7 @@ def row_id() -> Column:
 
 
 def sketches(documents: DataFrame, k: int = 5) -> DataFrame:
-    """``doc_id, row, node, mark, bands``: row identifies the row (see ``row_id``), node its words; mark is the SimHash fingerprint and
+    """``doc_id, row, node, mark, bands``: row identifies the row (see ``row_id``), node its words; mark is the SimHash fingerprint of the distinct and
     bands are the MinHash keys of the ``k``-word shingles (none for a text without words)."""
     schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("node", pa.int64()), ("mark", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
@@ -144,7 +144,7 @@ def sketches(documents: DataFrame, k: int = 5) -> DataFrame:
                 words = words_of(t or "")
                 own = shingle_hashes(words, k)
                 nodes.append(signed(xxhash.xxh64_intdigest(b" ".join(words), 7)))
-                marks.append(signed(fingerprint(own)))
+                marks.append(signed(fingerprint(np.unique(own))))
                 hashes.append(own)
             full = [h for h in hashes if len(h)]
             keys = iter(band_keys(full).tolist()) if full else iter(())

@@ -197,3 +197,15 @@ def test_a_passage_outlives_a_paragraph_that_goes(spark):
     kept = " ".join(start + near[198:224])
     docs = spark.createDataFrame([(1, " ".join(line)), (2, " ".join(near)), (3, kept)], "doc_id bigint, text string")
     assert {r["doc_id"]: r["text"] for r in passages.drop_repeats(docs).collect()} == {1: " ".join(line), 3: kept}
+
+
+def test_near_copies_that_repeat_a_line_differently_often(spark):
+    rng = random.Random(8)
+    texts = []
+    for n in (10, 30, 100) * 14:
+        body, line = ([f"y{rng.randrange(10**6)}" for _ in range(k)] for k in (200, 10))
+        texts += [" ".join(body + line), " ".join(body + line * n)]
+    own = [shingle_set(t) for t in texts]
+    assert all(len(a & b) >= 0.8 * len(a | b) for a, b in zip(own[::2], own[1::2]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()) == list(range(0, len(texts), 2))
