@@ -3,7 +3,8 @@
 The standard library's streaming parser turns a page into lines (one per block element). Each line has a
 text-to-tag ratio; the ratios are smoothed with a Gaussian and cut by a threshold into content and other lines,
 and the region of the page that holds the content lines is kept as a whole, so short paragraphs inside the
-article stay. Elements that never hold article text (menus, headers, footers, sidebars, notices, adverts, forms,
+article stay. Article and main elements are candidates for the region, weighed by the content lines without links; where they hold no
+more than half of the content, the smallest container of all content lines is the region. Elements that never hold article text (menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles, comments), told by tag, role, class or id, give no lines.
 
 Cases: null, empty and markup-free html are defined (empty text; the plain text). Repeated rows give repeated rows.
@@ -180,10 +181,10 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     content = content_lines(lines, sigma)
     count = len(page.kinds)
     total, dense = [0] * count, [0] * count
-    for (text, _, at, _), is_content in zip(lines, content):
+    for (text, _, at, linked), is_content in zip(lines, content):
         while at >= 0:
             total[at] += len(text)
-            dense[at] += len(text) * is_content
+            dense[at] += max(0, len(text) - linked) * is_content
             at = page.parents[at]
 
     def inside(at: int, nodes: set[int]) -> bool:
@@ -193,18 +194,21 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
             at = page.parents[at]
         return False
 
-    mains = [k for k in range(count) if page.kinds[k] == "main" and total[k]]
-    articles = [k for k in range(count) if page.kinds[k] == "article" and total[k]]
-    if mains:
-        best = max(mains, key=lambda k: total[k])
-        articles = [k for k in articles if inside(k, {best})]
-    if articles:
-        articles = [k for k in articles if not inside(page.parents[k], set(articles))]
-        best_mass = max(total[k] for k in articles)
-        region = {k for k in articles if total[k] >= 0.3 * best_mass}
-    elif mains:
-        region = {best}
-    else:
+    def outermost(kind: str) -> list[int]:
+        every = [k for k in range(count) if page.kinds[k] == kind and total[k]]
+        return [k for k in every if not inside(page.parents[k], set(every))]
+
+    def dense_of(nodes: set[int]) -> list[int]:
+        """Of neighbouring elements those that weigh much by their content lines, or consist of content lines."""
+        most = max((dense[k] for k in nodes), default=0)
+        return [k for k in nodes if dense[k] and (dense[k] >= 0.3 * most or dense[k] >= 0.5 * total[k])]
+
+    # article and main elements are the region if they hold most of the content: the inner ones if these do, else the outer ones
+    mains, articles = dense_of(set(outermost("main"))), outermost("article")
+    within = dense_of({k for k in articles if inside(k, set(mains))} if mains else set(articles))
+    region = next((set(nodes) for nodes in (within, mains) if 2 * sum(dense[k] for k in nodes) > dense[0]), None)
+    tagged = region is not None
+    if not tagged:
         # the smallest container that still holds every content line
         at, mass = 0, dense[0]
         while mass:
@@ -216,7 +220,7 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     kept = [(x, c) for x, c in zip(lines, content) if inside(x[2], region)]
     # rows of links at the edges of the region are menus without a mark
     edge = lambda x: x[0][3] >= 0.8 * len(x[0][0]) and not x[1]
-    if not articles and any(not edge(x) for x in kept):
+    if not tagged and any(not edge(x) for x in kept):
         while edge(kept[0]):
             kept.pop(0)
         while edge(kept[-1]):

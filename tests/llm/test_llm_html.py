@@ -43,3 +43,15 @@ def test_scripts_and_styles_in_the_article():
     page = "<body><article><p>a</p><script>var x=1;</script><style>p{color:red}</style><p>b<script>if (1 < 2) y('<p>no</p>')</script>c <style>i{}</style>d</p></article><script>z()</script></body>"
     assert main_text(page) == "a\nbc d"
     assert main_text("<script>x</script><p>text</p><style>y</style>") == "text"
+
+
+def test_content_lines_choose_among_articles_and_mains():
+    long, short = "word " * 80, "an article in two elements ends here with a plain sentence"
+    menu = "<div>" + "".join(f"<a href=/{k}>link number {k} of a long list</a> " for k in range(40)) + "</div>"
+    text = long.strip()
+    assert main_text(f"<article><p>{long}</p><p>{long}</p></article><article><p>{short}</p></article>") == f"{text}\n{text}\n{short}"
+    assert main_text(f"<main><p>{long}</p></main><main><p>{long[5:]}</p></main>") == f"{text}\n{text[5:]}"
+    # the text outside, a list of links inside the article
+    assert f"{text}\n{text}" in main_text(f"<body><article>{menu}</article><div><p>{long}</p><p>{long}</p></div></body>")
+    # a linked title stays
+    assert main_text(f"<article><h1><a href=/>Title</a></h1><p>{long}</p><p>{short}</p></article>") == f"Title\n{text}\n{short}"
