@@ -174,16 +174,14 @@ def k06_sorted_page(spark, sf_dir):
 def u01_near_questions(spark, sf_dir):
     """Near-duplicate questions within each document, with their leaders (order-dependent; held against brute force in the tests)."""
     rows = qa_pairs(spark, sf_dir).select("doc_id", "qa_id", F.lower("q").alias("q"))
-    pairs = similarity.near_pairs(rows, "doc_id", "qa_id", "q", 0.70)
-    return similarity.leaders(rows, pairs, "doc_id", "qa_id")
+    return similarity.near_leaders(rows, "doc_id", "qa_id", "q", 0.70)
 
 
 @query("u03_repeated_questions")
 def u03_repeated_questions(spark, sf_dir):
     """The same across the chunks of a generation: white space removed, threshold 0.75, the newer text first."""
     rows = qa_pairs(spark, sf_dir).select("doc_id", "qa_id", F.regexp_replace(F.lower("q"), r"(?U)\s+", "").alias("q"))
-    pairs = similarity.near_pairs(rows, "doc_id", "qa_id", "q", 0.75, newer_first=True)
-    return similarity.leaders(rows, pairs, "doc_id", "qa_id")
+    return similarity.near_leaders(rows, "doc_id", "qa_id", "q", 0.75, newer_first=True)
 
 
 @query("s24_score_in_text", r"""WITH l AS (SELECT conv_id, turn, list_reverse(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_extract(x, '\b(10|[0-9])\b', 1)), lambda x: x <> '')) AS f FROM conversations)

@@ -243,3 +243,16 @@ def test_verdicts(spark):
     df = spark.createDataFrame([(x,) for x in answers], "t string")
     assert [[(p["q"], p["a"]) for p in r[0]] for r in df.select(verdicts.qa_list(F.col("t"))).collect()] == [[("a?", "b")], [("c?", None)], [("d?", "e")], []]
     assert one(spark, "Gemini-2.5", verdicts.provider) == "google"
+
+
+def test_equal_questions_are_resolved_as_one(spark, monkeypatch):
+    texts = ["what is a loom", "what is the loom", "who wove it", "what is a loom", None, "", "who wove this", "what was a loom", ""] * 3
+    rows = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)] + [(None, 100, "x"), (None, 101, "x"), (2, 102, "who wove it")], "k bigint, i bigint, t string")
+    for newer in (False, True):
+        want = similarity.leaders(rows, similarity.near_pairs(rows, "k", "i", "t", 0.7, newer), "k", "i")
+        seen, whole = [], similarity.near_pairs
+        monkeypatch.setattr(similarity, "near_pairs", lambda own, *rest: seen.append(own.count()) or whole(own, *rest))
+        got = similarity.near_leaders(rows, "k", "i", "t", 0.7, newer)
+        monkeypatch.undo()
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        assert seen == [9]
