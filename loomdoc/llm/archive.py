@@ -30,7 +30,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, slices
+from .common import shared_dir, slices, written
 
 #: Bytes of records in an archive, about; and of a read of neighbouring records.
 ARCHIVE_BYTES = 32 << 20
@@ -192,13 +192,13 @@ def opened(uri: str):
 
 
 def linked(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """``page_id, url, html, refers_to, revisit``. The join partner of a payload is one row; the pages of a frequent payload
-    are split by the adaptive planner."""
+    """``page_id, url, html, refers_to, revisit``. The join partner of a payload is one row, from a written table, so that no sum stands
+    between shuffle and join and the adaptive planner may split the pages of a frequent payload."""
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     marked = rows.withColumn("_digest", F.sha2("html", 256))
     last = rows.select("page_id", F.sha2("html", 256).alias("_digest")).groupBy("_digest").agg(F.max("page_id").alias("last"))
     revisit = (F.octet_length("html") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("last"))
-    return marked.join(last, "_digest").select("page_id", "url", "html", F.when(revisit, F.col("last")).alias("refers_to"), revisit.alias("revisit"))
+    return marked.join(written(last, "last"), "_digest").select("page_id", "url", "html", F.when(revisit, F.col("last")).alias("refers_to"), revisit.alias("revisit"))
 
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:

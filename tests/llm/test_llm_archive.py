@@ -60,3 +60,10 @@ def test_payloads_come_back(spark):
     folder = archive.shared_dir(spark, "test")
     rows = archive.read_records(archive.write_archives(pages, folder), with_payload=True).collect()
     assert {(r["page_id"], r["record_type"], bytes(r["payload"]), r["refers_to"]) for r in rows} == {(1, "response", b"x", None), (2, "response", b"y\r\n\r\nz", None), (None, "revisit", b"", 1)}
+
+
+def test_no_sum_between_shuffle_and_join_of_equal_pages(spark):
+    pages = spark.createDataFrame([(1, "a", "x"), (2, "b", "x"), (3, "c", "y"), (4, "d", None)], "page_id bigint, url string, html string")
+    found = archive.linked(pages)
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.select("page_id", "refers_to", "revisit").collect())) == [(1, 2, True), (2, None, False), (3, None, False), (4, None, False)]
