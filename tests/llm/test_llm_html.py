@@ -1,4 +1,12 @@
-from loomdoc.llm.html_extract import content_lines, extract_pages, main_text
+import math
+import random
+import time
+
+import pytest
+from pyspark.sql import Row
+
+from loomdoc.llm import html_extract
+from loomdoc.llm.html_extract import content_lines, extract_pages, main_text, smoothed
 
 
 def test_article_without_the_rest():
@@ -55,3 +63,68 @@ def test_content_lines_choose_among_articles_and_mains():
     assert f"{text}\n{text}" in main_text(f"<body><article>{menu}</article><div><p>{long}</p><p>{long}</p></div></body>")
     # a linked title stays
     assert main_text(f"<article><h1><a href=/>Title</a></h1><p>{long}</p><p>{short}</p></article>") == f"Title\n{text}\n{short}"
+
+
+def test_smoothing_against_its_formula():
+    rng = random.Random(4)
+    for n in (1, 2, 5, 40):
+        values, weights = [rng.random() * 300 for _ in range(n)], [rng.choice([0.0, 0.25, 1.0]) for _ in range(n)]
+        for sigma in (0.7, 1.0, 2.0):
+            r = max(1, math.ceil(2 * sigma))
+            for w in (None, weights):
+                own = lambda i, j: math.exp(-((i - j) ** 2) / (2 * sigma**2)) * (w[j] if w else 1.0) * (abs(i - j) <= r)  # noqa: B023, E731
+                sums = [sum(own(i, j) for j in range(n)) for i in range(n)]
+                want = [sum(values[j] * own(i, j) for j in range(n)) / s if s else 0.0 for i, s in enumerate(sums)]
+                assert smoothed(values, sigma, w) == pytest.approx(want)
+
+
+def test_threshold_against_its_formula():
+    rng = random.Random(6)
+    for _ in range(50):
+        lines = [("x" * rng.randrange(1, 200), rng.randrange(1, 8), 0, 0) for _ in range(rng.randrange(1, 30))]
+        flat = smoothed([len(t) / tags for t, tags, _, _ in lines], 1.0)
+        mean = sum(flat) / len(flat)
+        deviation = math.sqrt(sum((x - mean) ** 2 for x in flat) / len(flat))
+        assert content_lines(lines) == [x >= (min(mean, deviation) or mean) for x in flat]
+
+
+def test_ratios_decide_not_tags(monkeypatch):
+    long, text = "word " * 80, ("word " * 80).strip()
+    menu = "".join(f"<li><a href=/{k}>place {k}</a></li>" for k in range(12))
+    # nothing but the ratios tells the menus from the text
+    page = f"<body><div><ul>{menu}</ul></div><div><p>{long}</p><p>Short one.</p><p>{long}</p></div><div><ul>{menu}</ul></div></body>"
+    assert main_text(page) == f"{text}\nShort one.\n{text}"
+    tagged = f"<body><nav><ul>{menu}</ul></nav><article><p>{long}</p><div class=share>Tell others</div></article><footer>Foot</footer></body>"
+    assert main_text(tagged) == text
+    monkeypatch.setattr(html_extract, "content_lines", lambda lines, *_: [True] * len(lines))
+    assert "Tell others" in main_text(tagged) and "Foot" in main_text(tagged)
+
+
+@pytest.mark.parametrize("name", ["social-science", "sharing-economy", "menu-costs", "banner-1848", "notices-of-the-academy"])
+def test_marks_with_a_sense_of_their_own(name):
+    text = ("word " * 80).strip()
+    assert main_text(f'<article><p>{text}</p><section class="{name}"><p>{text} too</p></section></article>') == f"{text}\n{text} too"
+
+
+@pytest.mark.parametrize("name", ["share-buttons", "site-footer", "related-posts", "cookie-notice", "ad", "ad-slot-12", "js-newsletter", "mainMenu", "comments", "comment_list"])
+def test_plain_marks(name):
+    text = ("word " * 80).strip()
+    assert main_text(f'<article><p>{text}</p><div class="{name}"><p>{text} too</p></div></article>') == text
+
+
+def test_time_grows_with_the_page():
+    deep = lambda k: "<div>some text" * k + "</div>" * k
+    wide = lambda k: "<body>" + "<article>x some text</article>" * k
+    stray = lambda k: "<div>" * k + "</span></b></p>" * k + "x"
+    for page in (deep, wide, stray):
+        times = []
+        for k in (1000, 8000):
+            began = time.process_time()
+            main_text(page(k))
+            times.append(time.process_time() - began)
+        assert times[1] < 24 * times[0] + 0.2
+
+
+def test_nulls_and_clashing_columns(spark):
+    rows = spark.createDataFrame([(None, "u", "<p>a</p>", "x", 1), (3, None, "<p>b</p>", "y", 2), (None, "u", "<p>a</p>", "x", 1)], "page_id bigint, url string, html string, text string, n_chars int")
+    assert sorted(map(str, extract_pages(rows).collect())) == sorted(map(str, [Row(page_id=None, url="u", text="a", n_chars=1)] * 2 + [Row(page_id=3, url=None, text="b", n_chars=1)]))
