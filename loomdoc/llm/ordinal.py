@@ -40,19 +40,41 @@ TRIM = ".,;:!?\"'()[]{}«»“”"
 RUNS = re.compile(r"(.)\1+")
 
 
+class Kinds(dict):
+    """Kind of each character: small or capital letter, digit, ASCII mark as it is, else x."""
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        self[point] = out = "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c if c < "\x80" else "x"
+        return out
+
+
+KINDS = Kinds()
+
+
 def word_features(word: str) -> tuple[int, ...]:
     """Buckets of a word, its stem and its shape."""
     low = word.lower()
     core = low.strip(TRIM)
-    shape = RUNS.sub(r"\1", "".join("a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c if c < "\x80" else "x" for c in word[:40]))
+    shape = RUNS.sub(r"\1", word[:40].translate(KINDS))
     own = {f"s{shape}"}
     if core:
         own |= {f"w{core}", f"p{core[:5]}"}
     return tuple(sorted(zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in own))
 
 
-def text_features(text: str) -> np.ndarray:
-    return np.unique(np.array([f for w in set(text.split()) for f in word_features(w)], dtype=np.int32))
+class Features(dict):
+    """Features of words, kept for up to ``KEPT`` of them."""
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= KEPT:
+            self.clear()
+        self[word] = out = word_features(word)
+        return out
+
+
+def text_features(text: str, features: Features) -> np.ndarray:
+    return np.unique(np.array([f for w in set(text.split()) for f in features[w]], dtype=np.int32))
 
 
 @dataclass
@@ -131,8 +153,9 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
     schema = pa.schema([("grade", pa.int32()), ("features", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = Features()
         for b in slices(batches):
-            own = [text_features(t or "") for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+            own = [text_features(t or "", features) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.list_(pa.int32()))], schema=schema)
 
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
