@@ -2,8 +2,8 @@
 
 Texts are tokenised whole, with an end token each; a document longer than a row is split losslessly into row-long segments and a rest.
 Segments are packed by best-fit decreasing: each goes into the open row with the least free space that holds it, found by a
-segment tree over the capacities. Packed rows are little-endian id matrices with cumulative segment lengths and the places
-where positions start again.
+segment tree over the capacities. Packed rows are little-endian ids, on demand filled up with end tokens to the rows of a matrix, with cumulative segment lengths and the
+places where positions start again.
 
 A task packs a window of bounded size at a time, and no text is shuffled. Which documents share a row follows the order of
 the input; every document's tokens are in some row whatever the order.
@@ -125,10 +125,10 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
     return rows
 
 
-def pack(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = ROW, window: int = WINDOW, ranks: str | None = None) -> DataFrame:
-    """Packed rows: ``ids`` (little-endian uint16, or uint32 for larger vocabularies), ``n_tokens``, ``cu_lengths`` (cumulative
-    segment lengths from 0), ``position_resets`` (where positions start again), and of each segment ``doc_ids`` and ``starts`` (its place
-    in the document's tokens)."""
+def pack(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = ROW, window: int = WINDOW, ranks: str | None = None, fill: bool = False) -> DataFrame:
+    """Packed rows: ``ids`` (little-endian uint16, or uint32 for larger vocabularies; with ``fill`` always ``size`` of them), ``n_tokens`` (without
+    the filling), ``cu_lengths`` (cumulative segment lengths from 0), ``position_resets`` (where positions start again: at each segment, and the
+    filling), and of each segment ``doc_ids`` and ``starts`` (its place in the document's tokens)."""
     ranks = ranks or default_ranks()
     fields = [("ids", pa.binary()), ("n_tokens", pa.int32()), ("cu_lengths", pa.list_(pa.int32())), ("position_resets", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64()))]
     schema = pa.schema(fields)
@@ -142,7 +142,10 @@ def pack(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
             rows = []
             for members in best_fit([len(x[2]) for x in held], size):
                 ends = np.cumsum([0, *(len(held[i][2]) for i in members)])
-                rows.append((b"".join([held[i][2].tobytes() for i in members]), int(ends[-1]), ends.tolist(), ends[:-1].tolist(), [held[i][0] for i in members], [held[i][1] for i in members]))
+                n = int(ends[-1])
+                ids = np.full(size if fill else n, tokens.end, kind)
+                np.concatenate([held[i][2] for i in members], out=ids[:n])
+                rows.append((ids.tobytes(), n, ends.tolist(), ends[: -1 if n == len(ids) else None].tolist(), [held[i][0] for i in members], [held[i][1] for i in members]))
             return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], f[1]) for j, f in enumerate(fields)], schema=schema)
 
         for b in slices(batches):

@@ -16,7 +16,7 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read(spark, sf_dir, "documents"))
+    return packing.pack(read(spark, sf_dir, "documents"), fill=True)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces of each whole text, and whether they decode to it."""
+    """Pieces of each whole text, and the hash of the text that they decode to."""
     decoded = pieces.decode(pieces.encode(read(spark, sf_dir, "documents")))
     return decoded.select("doc_id", "n_chars", "n_pieces", "piece_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
