@@ -252,17 +252,19 @@ def ranges(archives: DataFrame) -> DataFrame:
                     if method or index_method:
                         raise ArchiveError("members are not stored")
                     entries = [json.loads(x) for x in read_range(file, index, index_size).decode("utf-8", "surrogatepass").split("\n") if x]
-                rows, start, cuts = [], 0, []
+                rows, start, length, cuts = [], 0, 0, []
                 for e in entries:
-                    if cuts and (e["offset"] != start + sum(cuts) or sum(cuts) >= READ_BYTES):
-                        rows.append((uri, data + start, sum(cuts), cuts))
+                    if cuts and (e["offset"] != start + length or length >= READ_BYTES):
+                        rows.append((uri, data + start, length, cuts))
                         cuts = []
-                    start = e["offset"] if not cuts else start
+                    if not cuts:
+                        start, length = e["offset"], 0
                     if e["offset"] + e["length"] > stored:
                         raise ArchiveError("index runs past its member")
                     cuts.append(e["length"])
+                    length += e["length"]
                 if cuts:
-                    rows.append((uri, data + start, sum(cuts), cuts))
+                    rows.append((uri, data + start, length, cuts))
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(schema)], schema=schema)
 
     return archives.select("archive", "size").mapInArrow(run, "archive string, start bigint, length bigint, cuts array<bigint>")

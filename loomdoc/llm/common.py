@@ -15,11 +15,14 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder name under ``spark.checkpoint.dir``, which driver and executors share.
+    """A new folder name under ``spark.checkpoint.dir``, which driver and executors share (or the context's checkpoint folder).
 
-    Only where the session sets no such folder (tests, local mode) is a local one made."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    Only in local mode, where the session sets no such folder, is a local one made; on a cluster that is an error."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="spark-llm-"))
         base = _own[0]
