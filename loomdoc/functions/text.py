@@ -24,11 +24,17 @@ def occurrences(text: Column, piece: str) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit(piece), F.lit("")))) / F.lit(len(piece))
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, which Spark does not promise for a column that is named several times."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def is_contents_legacy(text: Column) -> Column:
     """Table-of-contents chunk by its dots: many leaders, or most lines with leaders and a final digit."""
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-    dotted = F.filter(lines, lambda x: ((occurrences(x, "·") > 5) | (occurrences(x, ".") > 5)) & F.rlike(F.regexp_replace(x, r"\s+$", ""), F.lit(r"[0-9]$")))
-    return (occurrences(text, "·") > 20) | (occurrences(text, ".") > 50) | ((F.size(lines) > 0) & (F.size(dotted) > 0.5 * F.size(lines)))
+    dotted = lambda x: ((occurrences(x, "·") > 5) | (occurrences(x, ".") > 5)) & F.rlike(F.regexp_replace(x, r"\s+$", ""), F.lit(r"[0-9]$"))
+    most = bound(lines, lambda own: (F.size(own) > 0) & (F.size(F.filter(own, dotted)) > 0.5 * F.size(own)))
+    return (occurrences(text, "·") > 20) | (occurrences(text, ".") > 50) | most
 
 
 def is_contents(text: Column) -> Column:
@@ -36,14 +42,15 @@ def is_contents(text: Column) -> Column:
     n, table = F.length(text), occurrences(text, "|") >= 4
     dots = occurrences(text, "·")
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-    led = F.filter(lines, lambda x: ((occurrences(x, "·") > 3) | (occurrences(x, ".") > 5)) & F.rlike(F.substring(x, -5, 5), F.lit(r"[0-9]")))
-    by_lines = (F.size(lines) > 0) & (F.size(led) >= 0.6 * F.size(lines))
+    led = lambda x: ((occurrences(x, "·") > 3) | (occurrences(x, ".") > 5)) & F.rlike(F.substring(x, -5, 5), F.lit(r"[0-9]"))
+    by_lines = bound(lines, lambda own: (F.size(own) > 0) & (F.size(F.filter(own, led)) >= 0.6 * F.size(own)))
     numbers = F.regexp_count(text, F.lit(r"\b[0-9]+\.[0-9]+"))
     words = F.greatest(F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")), F.lit(1))
     sentences = F.regexp_count(text, F.lit(r"다\."))
-    many = (numbers >= 8) & (numbers / words >= 0.05) & (sentences <= 2)
+    many = bound(numbers, lambda n: (n >= 8) & (n / words >= 0.05) & (sentences <= 2))
     keyword = F.rlike(text, F.lit(r"목\s*차")) & (numbers >= 5)
-    return F.when(n < 20, False).otherwise((~table & (dots > 10) & (dots > 0.05 * n)) | F.rlike(text, F.lit("·{4,}")) | (~table & by_lines) | keyword | (~table & many))
+    dotty = bound(dots, lambda d: (d > 10) & (d > 0.05 * n))
+    return F.when(n < 20, False).otherwise((~table & dotty) | F.rlike(text, F.lit("·{4,}")) | (~table & by_lines) | keyword | (~table & many))
 
 
 def is_colophon(text: Column) -> Column:
@@ -56,9 +63,8 @@ def is_colophon(text: Column) -> Column:
 
 def is_symbol_noise(text: Column) -> Column:
     """Hardly any letter or digit in a text of ten characters or more."""
-    base = F.regexp_replace(text, r"[\s|]", "")
-    meaningful = F.regexp_count(base, F.lit(r"[0-9A-Za-z가-힣]"))
-    return F.when(F.length(text) < 10, False).when(F.length(base) == 0, True).otherwise((F.length(base) >= 15) & (meaningful / F.length(base) < 0.15))
+    few = lambda b: F.when(F.length(b) == 0, True).otherwise((F.length(b) >= 15) & (F.regexp_count(b, F.lit(r"[0-9A-Za-z가-힣]")) / F.length(b) < 0.15))
+    return F.when(F.length(text) < 10, False).otherwise(bound(F.regexp_replace(text, r"[\s|]", ""), few))
 
 
 def chunk_type(text: Column) -> Column:

@@ -56,3 +56,18 @@ def provider(model: Column) -> Column:
 def chunking_tier(pages: Column) -> Column:
     """Tier 1 to 5 of a document by its pages (up to 20, 50, 100, 200, more)."""
     return F.when(pages <= 20, 1).when(pages <= 50, 2).when(pages <= 100, 3).when(pages <= 200, 4).otherwise(5)
+
+
+# Workers of each provider.
+WORKERS = {"generation": {"anthropic": 2, "google": 5, "openai": 5}, "evaluation": {"anthropic": 2, "google": 10, "openai": 8}}
+
+
+def workers(provider_name: Column, kind: str) -> Column:
+    """Workers for calls to a provider; ``kind`` is generation or evaluation."""
+    own = WORKERS[kind]
+    return F.when(provider_name == "anthropic", own["anthropic"]).when(provider_name == "google", own["google"]).otherwise(own["openai"])
+
+
+def chunking_tier_of_blocks(blocks: Column) -> Column:
+    """Tier 1 to 4 of a Word document by its blocks (up to 60, 150, 300, more)."""
+    return F.when(blocks <= 60, 1).when(blocks <= 150, 2).when(blocks <= 300, 3).otherwise(4)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Lengths allowed in each field, in characters.
@@ -85,3 +85,42 @@ def entropy(rows: DataFrame, column: str, name: str = "entropy") -> DataFrame:
     counts = rows.groupBy(column).agg(F.count(F.lit(1)).cast("double").alias("n"))
     # sum(-p log p) = log N - sum(n log n) / N: sums only, so partial sums are made before the shuffle
     return counts.agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.log2("n")).alias("s")).select(F.coalesce(F.round(F.log2("all") - F.col("s") / F.col("all"), 3), F.lit(0.0)).alias(name))
+
+
+def dimension_severities(scores: DataFrame, thresholds: dict[str, float]) -> DataFrame:
+    """``dimension, pct_below, std_dev, severity, rank``: critical over 30 % of the rows below the threshold, warning over 15 %; rank of these by share."""
+    one = score_summary(scores, thresholds).select(F.col("metric").alias("dimension"), F.col("below_pct").alias("pct_below"), F.col("std").alias("std_dev"))
+    p = F.col("pct_below")
+    # a row a dimension, so the window is over a handful of rows
+    rank = F.row_number().over(Window.orderBy(F.desc("pct_below"), "dimension"))
+    return one.withColumn("severity", F.when(p > 30, "critical").when(p > 15, "warning").otherwise("ok")).withColumn("rank", F.when(p > 15, rank))
+
+
+def dataset_messages(syntax: Column, stats: Column, rag: Column, quality: Column) -> Column:
+    """Keys of the messages about a dataset, from the layers' scores (absent ones count as 1); ``good`` if there is none."""
+    r, q = F.coalesce(rag, F.lit(1.0)), F.coalesce(quality, F.lit(1.0))
+    best = (syntax >= 95) & (stats >= 7) & (r >= 0.80) & (q >= 0.80)
+    found = F.array_compact(F.array(F.when(syntax < 90, "syntax"), F.when(stats < 6, "diversity"), F.when(r < 0.70, "rag"), F.when(q < 0.70, "quality"), F.when(best, "excellent")))
+    return F.when(F.size(found) == 0, F.array(F.lit("good"))).otherwise(found)
+
+
+def failing_items(scores: DataFrame, key: str, thresholds: dict[str, float], n: int) -> DataFrame:
+    """``key, mean_score, issues``: the ``n`` worst rows with a mean of ``rag`` and ``avg_quality`` below 0.7 and a dimension below its threshold, lowest first."""
+    mean = (F.coalesce("rag", F.lit(1.0)) + F.coalesce("avg_quality", F.lit(1.0))) / 2
+    issues = F.array_compact(F.array(*[F.when(F.col(c) < t, F.struct(F.round(c, 3).alias("score"), F.lit(c).alias("dimension"))) for c, t in thresholds.items()]))
+    rows = scores.select(key, F.round(mean, 3).alias("mean_score"), mean.alias("_mean"), F.array_sort(issues).alias("issues")).filter((F.col("_mean") < PASS) & (F.size("issues") > 0))
+    return rows.orderBy("mean_score", key).limit(n).select(key, "mean_score", F.array_join(F.transform("issues", lambda x: x["dimension"]), ",").alias("issues"))
+
+
+def status() -> Column:
+    """fail, hold or success of a scored row (``avg_quality, rag, pass, types``); missing scores count as 0."""
+    q, r = F.coalesce("avg_quality", F.lit(0.0)) < PASS, F.coalesce("rag", F.lit(0.0)) < PASS
+    return F.when(q & r, "fail").when(~F.col("pass") | (F.size("types") > 0) | q | r, "hold").otherwise("success")
+
+
+def with_judge_errors(scores: DataFrame, failed: Column, absent: Column) -> DataFrame:
+    """Scores of rows whose judge ``failed`` (0.65 each, not passed) or is ``absent`` (0.65 for the triad, 0.5 for completeness), with ``passed``."""
+    triad = [F.when(failed | absent, 0.65).otherwise(F.col(c)).alias(c) for c in TRIAD]
+    quality = F.when(failed, ABSENT["quality"]).when(absent, 0.5).otherwise(F.col("avg_quality"))
+    passed = F.when(failed, False).otherwise(quality >= PASS)
+    return scores.select(*[c for c in scores.columns if c not in TRIAD and c not in ("avg_quality", "passed")], *triad, quality.alias("avg_quality"), passed.alias("passed"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vector import cosine
@@ -38,3 +38,14 @@ def nearest(rows: DataFrame, column: str, wanted: list[float], id_col: str, thre
     """The ``n`` rows with the highest cosine similarity above ``threshold``, ties by id."""
     scored = rows.withColumn("similarity", cosine(F.col(column), F.array(*[F.lit(x) for x in wanted])))
     return scored.filter(F.col("similarity") > threshold).orderBy(F.desc("similarity"), id_col).limit(n)
+
+
+def anchors(rows: DataFrame, group: str, order: str, admin: Column, sample: int = 40, least: int = 10, n: int = 30, text: str = "content") -> DataFrame:
+    """Anchor rows of each group with ``cut``, their text cut to its share of 20,000 characters (400 at least): ``sample`` at even distances, without
+    admin rows if ``least`` are left, the first ``n``. At most ``sample`` rows of a group meet in the windows that follow."""
+    w = Window.partitionBy(group)
+    chosen = stride(rows, group, order, sample).withColumn("_admin", admin)
+    chosen = chosen.withColumn("_enough", F.count_if(~F.col("_admin")).over(w) >= least).filter(~F.col("_enough") | ~F.col("_admin"))
+    chosen = chosen.withColumn("_r", F.row_number().over(w.orderBy("rn"))).filter(F.col("_r") <= n).withColumn("_n", F.count(F.lit(1)).over(w))
+    share = F.greatest(F.lit(400), F.expr("cast(20000 div _n as int)"))
+    return chosen.withColumn("cut", F.substr(text, F.lit(1), share)).drop("_admin", "_enough", "_r", "_n")

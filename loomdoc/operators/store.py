@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -40,3 +40,35 @@ def violations(rows: DataFrame, key: str, broken: dict[str, Column]) -> DataFram
     """``key, violated`` of rows that break a rule, with the first rule broken."""
     first = F.coalesce(*[F.when(c, F.lit(name)) for name, c in broken.items()])
     return rows.select(key, first.alias("violated")).filter("violated is not null")
+
+
+def by_key(rows: DataFrame, key: str, value) -> DataFrame:
+    """The row with a key: a filter, which file statistics and buckets prune."""
+    return rows.filter(F.col(key) == F.lit(value)).limit(1)
+
+
+def without_blank(rows: DataFrame, column: str) -> DataFrame:
+    """Blank values of a column as null; others stay as they are."""
+    return rows.withColumn(column, F.when(F.trim(column) != "", F.col(column)))
+
+
+def positions(rows: DataFrame, order: str, name: str = "number", width: int = 100_000) -> DataFrame:
+    """Rows numbered from 1 by the whole number ``order``: within ranges of ``width`` values, and the rows of the ranges before added. No task sees
+    all rows; one sees a row a range."""
+    ranged = rows.withColumn("_range", F.floor(F.col(order) / width))
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).drop("_n")
+    inner = F.row_number().over(Window.partitionBy("_range").orderBy(order))
+    return ranged.withColumn("_inner", inner).join(offsets, "_range").withColumn(name, F.col("_before") + F.col("_inner")).drop("_range", "_inner", "_before")
+
+
+def numbered(rows: DataFrame, group: str, order: str, start: int, name: str = "chunk_index") -> DataFrame:
+    """Rows of each group numbered from ``start`` on."""
+    return rows.withColumn(name, (F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1 + start).cast("bigint"))
+
+
+def delete_statements(rows: DataFrame, key: str, table: str, size: int) -> DataFrame:
+    """``batch, n, statement``: statements that delete rows by key, ``size`` keys each."""
+    batches = positions(rows.select(key), key).groupBy(F.floor((F.col("number") - 1) / size).alias("batch")).agg(F.array_sort(F.collect_list(key)).alias("_keys"))
+    listed = F.array_join(F.col("_keys").cast("array<string>"), ", ")
+    return batches.select("batch", F.size("_keys").cast("bigint").alias("n"), F.concat(F.lit(f"DELETE FROM {table} WHERE id IN ("), listed, F.lit(");")).alias("statement"))

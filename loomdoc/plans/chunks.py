@@ -127,34 +127,102 @@ def a05_sufficiency(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", n.alias("chars"), b.alias("blocks"), ((n < 300) | (n / b < 5)).alias("rejected"))
 
 
-@query("r04_merged_chunks")
+LINES = "lines AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), l AS (SELECT doc_id, i - 1 AS i, l[i] AS t FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM lines))"
+
+
+def document_lines(spark, sf_dir):
+    """Documents with their lines as an array of blocks."""
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.split("text", "\n", -1).alias("lines"))
+
+
+@query("r04_merged_chunks", rf"""WITH RECURSIVE {LINES}, f AS (SELECT doc_id, i, i AS first, length(t) AS n FROM l WHERE i = 0 UNION ALL
+  SELECT l.doc_id, l.i, CASE WHEN f.n < 300 AND f.n + length(l.t) <= 1200 AND NOT regexp_matches(l.t, '^\s*제\s*[0-9]+조') THEN f.first ELSE l.i END,
+    CASE WHEN f.n < 300 AND f.n + length(l.t) <= 1200 AND NOT regexp_matches(l.t, '^\s*제\s*[0-9]+조') THEN f.n + 1 ELSE 0 END + length(l.t) FROM f JOIN l ON l.doc_id = f.doc_id AND l.i = f.i + 1)
+  SELECT f.doc_id AS document_id, f.first AS chunk_index, string_agg(l.t, chr(10) ORDER BY l.i) AS content FROM f JOIN l ON l.doc_id = f.doc_id AND l.i = f.i GROUP BY 1, 2""")
 def r04_merged_chunks(spark, sf_dir):
-    """Short neighbouring chunks of a document merged (order-dependent; held against brute force in the tests)."""
-    return blocks.merge_short(doc_chunks(spark, sf_dir), "document_id", "chunk_index", "content", 300, 1200)
+    """Short neighbouring chunks of a document merged."""
+    return blocks.folded(document_lines(spark, sf_dir), "document_id", "lines", lambda t: blocks.merged(t, 300, 1200), "chunk_index bigint, content string")
+
 
+BATCHES = f"""{LINES}, f AS (SELECT doc_id, i, 0 AS batch, 1 AS n, length(t) AS c FROM l WHERE i = 0 UNION ALL SELECT l.doc_id, l.i, CASE WHEN f.n >= 30 OR f.c + length(l.t) > 4000 THEN f.batch + 1 ELSE f.batch END,
+  CASE WHEN f.n >= 30 OR f.c + length(l.t) > 4000 THEN 1 ELSE f.n + 1 END, CASE WHEN f.n >= 30 OR f.c + length(l.t) > 4000 THEN 0 ELSE f.c END + length(l.t) FROM f JOIN l ON l.doc_id = f.doc_id AND l.i = f.i + 1)"""
 
-@query("r07_batches")
+
+@query("r07_batches", f"WITH RECURSIVE {BATCHES} SELECT doc_id AS document_id, i AS chunk_index, batch FROM f")
 def r07_batches(spark, sf_dir):
-    """Blocks of a document batched by count and characters (held against brute force in the tests)."""
-    return blocks.batches(doc_chunks(spark, sf_dir), "document_id", "chunk_index", "content", 30, 4000)
+    """Blocks of a document batched by count and characters."""
+    fold = lambda t: list(enumerate(blocks.batched([len(x) for x in t], 30, 4000)))
+    return blocks.folded(document_lines(spark, sf_dir), "document_id", "lines", fold, "chunk_index bigint, batch int")
+
+
+@query("r07_batch_contexts", f"WITH RECURSIVE {BATCHES} SELECT doc_id AS document_id, batch, greatest(min(i) - 5, 0)::INT AS context_from, min(i)::INT AS first, max(i)::INT AS last FROM f GROUP BY 1, 2")
+def r07_batch_contexts(spark, sf_dir):
+    """Batches with the five blocks before each as its context."""
+    fold = lambda t: blocks.batch_ranges([len(x) for x in t], 30, 4000, 5)
+    return blocks.folded(document_lines(spark, sf_dir), "document_id", "lines", fold, "batch int, context_from int, first int, last int")
 
 
 @query("r10_similar_chunks")
 def r10_similar_chunks(spark, sf_dir):
     """Chunks of a document kept after absorbing those that share half their words (held against brute force in the tests)."""
-    return blocks.absorb_similar(doc_chunks(spark, sf_dir), "document_id", "chunk_index", "content", 0.5)
+    return blocks.folded(document_lines(spark, sf_dir), "document_id", "lines", lambda t: blocks.absorbed(t, 0.5), "chunk_index bigint, content string")
+
 
+@query("r10_similar_sources")
+def r10_similar_sources(spark, sf_dir):
+    """The same where chunks also name their source blocks: each line its own and the one before, so neighbours share a third (held against brute force)."""
+    fold = lambda t: blocks.absorbed(t, 0.3, [[i - 1, i] for i in range(len(t))])
+    return blocks.folded(document_lines(spark, sf_dir), "document_id", "lines", fold, "chunk_index bigint, content string")
 
-@query("r03_block_chunks")
+
+@query("r03_block_chunks", rf"""WITH RECURSIVE {LINES}, s AS (SELECT doc_id, i, regexp_replace(t, '^\s+|\s+$', '', 'g') AS t FROM l), k AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i, t FROM s WHERE t <> ''),
+  f AS (SELECT doc_id, i, 0 AS c, length(t) + 1 AS n FROM k WHERE i = 1 UNION ALL SELECT k.doc_id, k.i, f.c + brk::INT, CASE WHEN brk THEN 0 ELSE f.n END + length(k.t) + 1 FROM f JOIN k ON k.doc_id = f.doc_id AND k.i = f.i + 1,
+    LATERAL (SELECT regexp_matches(k.t, '^제\s*[0-9]+조') OR (regexp_matches(k.t, '^[①-⑳]') AND f.n >= 150) OR f.n + length(k.t) > 900 AS brk)),
+  g AS (SELECT f.doc_id, f.c, string_agg(k.t, chr(10) ORDER BY k.i) AS text, max(f.n) AS n FROM f JOIN k ON k.doc_id = f.doc_id AND k.i = f.i GROUP BY 1, 2),
+  h AS (SELECT *, sum((c = 0 OR NOT (n <= 40 AND regexp_matches(text, '^[가-힣]{{1,6}}(한다|된다|이다|있다|없다|말한다|아니한다|합니다|됩니다)[.。]?\s*$')))::INT) OVER (PARTITION BY doc_id ORDER BY c) - 1 AS position FROM g)
+  SELECT doc_id AS document_id, position::INT AS position, string_agg(text, chr(10) ORDER BY c) AS content FROM h GROUP BY 1, 2""")
 def r03_block_chunks(spark, sf_dir):
-    """Blocks of a document put together to chunks of up to 900 characters (held against properties in the tests)."""
-    return blocks.folded(doc_chunks(spark, sf_dir), "document_id", "chunk_index", "content", blocks.chunked)
+    """Blocks of a document put together to chunks of up to 900 characters."""
+    return blocks.folded(document_lines(spark, sf_dir), "document_id", "lines", lambda t: list(enumerate(blocks.chunked(t))), "position int, content string")
 
 
 @query("r09_conjunctions")
 def r09_conjunctions(spark, sf_dir):
-    """Conjunctions at the end of a chunk moved to the next (Korean; these texts have none)."""
-    return blocks.folded(doc_chunks(spark, sf_dir), "document_id", "chunk_index", "content", blocks.conjunctions_moved)
+    """Conjunctions at the end of a chunk moved to the next (Korean; these texts have none, see ``r09_moved``)."""
+    return blocks.folded(document_lines(spark, sf_dir), "document_id", "lines", lambda t: list(enumerate(blocks.conjunctions_moved(t))), "position int, content string")
+
+
+WORDS = "|".join(blocks.CONJUNCTIONS)
+
+
+@query("r09_moved", rf"""WITH RECURSIVE {LINES}, m AS (SELECT doc_id, i, CASE i % 3 WHEN 0 THEN t || ', 또한' WHEN 1 THEN t || ' 이를 통해 ' ELSE t END AS t, max(i) OVER (PARTITION BY doc_id) AS last FROM l),
+  f AS (SELECT doc_id, i, last, CASE WHEN i < last THEN regexp_replace(regexp_replace(t, '[\s,]*(?:{WORDS})\s*$', ''), '\s+$', '') ELSE t END AS content,
+      CASE WHEN i < last THEN regexp_replace(regexp_extract(t, '[\s,]*(?:{WORDS})\s*$'), '^[\s,]+|\s+$', '', 'g') ELSE '' END AS carried FROM m WHERE i = 0
+    UNION ALL SELECT doc_id, i, last, CASE WHEN i < last AND regexp_matches(t, '[\s,]*(?:{WORDS})\s*$') THEN regexp_replace(regexp_replace(t, '[\s,]*(?:{WORDS})\s*$', ''), '\s+$', '') ELSE t END,
+      CASE WHEN i < last THEN regexp_replace(regexp_extract(t, '[\s,]*(?:{WORDS})\s*$'), '^[\s,]+|\s+$', '', 'g') ELSE '' END
+      FROM (SELECT m.doc_id, m.i, m.last, CASE WHEN f.carried <> '' THEN f.carried || ' ' || regexp_replace(m.t, '^\s+', '') ELSE m.t END AS t FROM f JOIN m ON m.doc_id = f.doc_id AND m.i = f.i + 1))
+  SELECT doc_id AS document_id, i::INT AS position, content FROM f""")
+def r09_moved(spark, sf_dir):
+    """The same on lines that end with conjunctions (two of three)."""
+    ends = F.transform("lines", lambda t, i: F.when(i % 3 == 0, F.concat(t, F.lit(", 또한"))).when(i % 3 == 1, F.concat(t, F.lit(" 이를 통해 "))).otherwise(t))
+    rows = document_lines(spark, sf_dir).select("document_id", ends.alias("lines"))
+    return blocks.folded(rows, "document_id", "lines", lambda t: list(enumerate(blocks.conjunctions_moved(t))), "position int, content string")
+
+
+@query("r02_paired")
+def r02_paired(spark, sf_dir):
+    """Numbers and marks put before the block after them (every third line is made one; held against a plain loop in the tests)."""
+    marks = F.array(*[F.lit(x) for x in ("12", "•", "_-", "abc")])
+    lines = F.flatten(F.transform("lines", lambda t, i: F.when(i % 3 == 1, F.array(F.element_at(marks, (i % 4 + 1).cast("int")), t)).otherwise(F.array(t))))
+    rows = document_lines(spark, sf_dir).select("document_id", lines.alias("lines"))
+    return blocks.folded(rows, "document_id", "lines", blocks.paired, "position int, content string")
+
+
+@query("r08_merged_forward")
+def r08_merged_forward(spark, sf_dir):
+    """Chunks under 200 characters put before the next, with the union of their source blocks, numbered anew (held against a loop in the tests)."""
+    fold = lambda t: [(k, text, sources) for k, (text, sources) in enumerate(blocks.merged_forward([(x, [i // 2, i]) for i, x in enumerate(t)]))]
+    return blocks.folded(document_lines(spark, sf_dir), "document_id", "lines", fold, "position int, content string, sources array<int>").select("document_id", "position", "content", F.array_join(F.col("sources").cast("array<string>"), ",").alias("sources"))
 
 
 FONT = "(CASE WHEN chunk_index % 5 = 0 THEN 14 WHEN length(content) < 40 THEN 11 ELSE 10 END)::DOUBLE"
