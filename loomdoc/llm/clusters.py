@@ -21,11 +21,14 @@ from .common import written
 from .graph import components
 
 SHARD = 400
+#: Words whose hashes a task keeps.
+KEPT = 250_000
 BANDS, ROWS = 8, 3
-#: 64-bit multipliers and offsets of the MinHash permutations.
+#: Odd multipliers and offsets of the MinHash permutations, on the upper 32 bits of a hash.
 _RANDOM = np.random.default_rng(20240607)
-FACTORS = _RANDOM.integers(1, 2**63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-OFFSETS = _RANDOM.integers(0, 2**63, size=BANDS * ROWS, dtype=np.uint64)
+FACTORS = _RANDOM.integers(2**27, 2**31, size=BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+OFFSETS = _RANDOM.integers(0, 2**32, size=BANDS * ROWS, dtype=np.uint32)
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingles(words: list[bytes], k: int) -> list[bytes]:
@@ -41,19 +44,58 @@ def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
 
 
 def band_keys(hashes: list[np.ndarray]) -> np.ndarray:
-    """A row of ``BANDS`` keys for each (non-empty) set of shingle hashes; all sets at once, permutation by permutation."""
-    flat = np.concatenate(hashes)
-    starts = np.cumsum([0, *map(len, hashes)])[:-1]
-    lows = np.empty((len(hashes), BANDS * ROWS), dtype=np.uint64)
+    """A row of ``BANDS`` keys for each (non-empty) set of shingle hashes."""
+    return band_keys_of(np.concatenate(hashes), np.cumsum([0, *map(len, hashes)])[:-1])
+
+
+def band_keys_of(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The same of sets that stand one after another in ``flat`` and begin at ``starts``; all sets at once, permutation by permutation."""
+    own = (flat >> np.uint64(32)).astype(np.uint32)
+    lows, mixed = np.empty((BANDS * ROWS, len(starts)), dtype=np.uint32), np.empty_like(own)
     for j in range(BANDS * ROWS):
-        mixed = flat * FACTORS[j] + OFFSETS[j]
-        mixed ^= mixed >> np.uint64(29)
-        lows[:, j] = np.minimum.reduceat(mixed, starts)
-    keys = np.zeros((len(hashes), BANDS), dtype=np.uint64)
+        np.bitwise_xor(own, OFFSETS[j], out=mixed)
+        np.multiply(mixed, FACTORS[j], out=mixed)
+        np.minimum.reduceat(mixed, starts, out=lows[j])
+    keys = np.zeros((BANDS, len(starts)), dtype=np.uint64)
     for j in range(ROWS):
-        keys = (keys ^ lows[:, j::ROWS]) * np.uint64(0x9E3779B97F4A7C15)
+        keys = (keys ^ lows[j::ROWS]) * MIX
         keys ^= keys >> np.uint64(32)
-    return (keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+    return np.ascontiguousarray((keys + np.arange(BANDS, dtype=np.uint64)[:, None]).T).view(np.int64)
+
+
+class WordHashes(dict):
+    """Hashes of words, kept for up to ``KEPT`` of them."""
+
+    def __missing__(self, word: str | bytes) -> int:
+        if len(self) >= KEPT:
+            self.clear()
+        self[word] = out = xxhash.xxh64_intdigest(word if isinstance(word, bytes) else word.encode("utf-8", "surrogatepass"), 3)
+        return out
+
+
+def shifted(x: np.ndarray, by: int) -> np.ndarray:
+    """``x[i + by]`` at i; zero beyond the end."""
+    return np.concatenate([x[by:], np.zeros(min(by, len(x)), x.dtype)])
+
+
+def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the ``n`` words from each place on, given their hashes."""
+    out, have, power, width = None, 0, words, 1
+    mixed = lambda a, b: (x := (a * MIX + b) * MIX) ^ (x >> np.uint64(32))
+    while True:
+        if n & width:
+            out = power if out is None else mixed(out, shifted(power, have))
+            have += width
+        if have == n:
+            return out
+        power, width = mixed(power, shifted(power, width)), 2 * width
+
+
+def set_hashes(words: list[bytes], k: int, hashes: WordHashes) -> np.ndarray:
+    """Hashes of the word shingles (see ``shingles``) made of those of their words."""
+    own = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    n = min(k, len(words))
+    return gram_hashes(own, n)[: len(words) - n + 1] if n else own
 
 
 class Joined:

@@ -34,6 +34,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, label)
     df.write.option("compression", "zstd").parquet(path)
+    # the shuffles behind the table are done with; Spark removes their files once the driver's collector has seen that
+    spark.sparkContext._jvm.java.lang.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -4,10 +4,12 @@
 have a Jaccard similarity of 0.8 or more are linked, links become components, and of a component the first paragraph (by
 doc_id, then line) stays. Bands: 8 of 3 rows, so a pair at similarity 0.8 shares one with probability 0.997.
 
-*Passages.* The words of a text are one sequence, whatever lines they stand in. Where a passage stands must not matter, so a passage is any sequence of ``min_words`` words (a gram) that
-occurs elsewhere before, exactly but for case and white space; overlapping and adjoining grams form a run, which is thus exact to the word.
-Not every gram is counted: the smallest hash of the short shingles inside a gram is its anchor (winnowing). Equal grams have
-equal anchors, so only the grams whose anchor occurs more than once, about a tenth of the words being anchors, are compared.
+*Passages.* The words of a text are one sequence, whatever lines they stand in, and where a passage stands must not matter. So every
+``min_words`` words in a row are a paragraph too (a gram), each overlapping the next. Its band is a MinHash of one row, the smallest hash of
+its short shingles (its anchor): equal grams always collide, and as neighbours mostly share it, there is about one anchor in ten words.
+Grams that collide are joined and verified by all of their words; a repeated one occurs elsewhere before, exactly but for case and white space.
+Overlapping and adjoining repeated grams form a run, exact to the word. Runs up to ``GAP`` words apart whose first copies
+lie as far apart in one document are one passage with an edit distance of ``GAP`` words at most between them.
 The first copy of a gram (by doc_id, then place) stays; copies that lie in paragraphs that go count only if there is no other.
 
 Cases: null text counts as empty; repeated rows are one row; null doc_ids come first; empty tables give no rows. Other columns
@@ -22,12 +24,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .clusters import band_keys, shingle_hashes, similar_components
+from .clusters import BANDS, WordHashes, band_keys_of, gram_hashes, shifted, similar_components
 from .common import free_name, slices, written
-from .simhash import row_id, signed
 
 MIN_WORDS = 25
 #: Words of a unit at least; shorter sentences are joined with the next.
@@ -35,15 +36,14 @@ UNIT = 8
 LONG, PICK = 40, 12
 #: Words of the shingles among whose hashes anchors are chosen.
 SHINGLE = 8
+#: Words that may differ between two runs of a passage.
+GAP = 3
+LEAST = -(2**63)
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 END = re.compile(r"[.!?。…]['\")\]»”]*$")
 SENTENCES = re.compile(r"(?<=[.!?。…])\s+")
 
 
-def normal(words: list[str]) -> bytes:
-    return " ".join(words).lower().encode("utf-8", "surrogatepass")
-
-
 def units(line: str) -> list[list[str]]:
     """Words of each unit of a line, cut at sentence ends and, in long sentences, after words a hash picks. Passages are not matched by them."""
     out: list[list[str]] = []
@@ -66,77 +66,17 @@ def units(line: str) -> list[list[str]]:
     return out
 
 
-def _rows(documents: DataFrame) -> DataFrame:
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_id().alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-
-
-def _lines(documents: DataFrame, min_words: int, schema: str, each) -> DataFrame:
-    """Rows that ``each(doc_ids, rows, line numbers, words)`` makes of the paragraphs of a batch of texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 2_000_000):
-            found = []
-            for doc_id, row, text in zip(*(b.column(j).to_pylist() for j in range(3))):
-                for at, line in enumerate(text.split("\n")):
-                    words = line.split()
-                    if len(words) >= min_words:
-                        found.append((doc_id, row, at, words))
-            if found:
-                yield each(found)
-
-    return _rows(documents).mapInArrow(run, schema)
-
-
-def paragraphs(documents: DataFrame, k: int = 5, min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc_id, row, line, n_words, node, bands``; node identifies the paragraph's words."""
-    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("line", pa.int32()), ("n_words", pa.int32()), ("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
-
-    def each(found: list[tuple]) -> pa.RecordBatch:
-        texts = [normal(x[3]) for x in found]
-        keys = band_keys([shingle_hashes(t.split(b" "), k) for t in texts])
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1]), pa.int32()), pa.array(keys.ravel(), pa.int64()))
-        columns = [[x[0] for x in found], [x[1] for x in found], [x[2] for x in found], [len(x[3]) for x in found], [signed(xxhash.xxh64_intdigest(t, 7)) for t in texts]]
-        return pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(columns, schema)), lists], schema=schema)
-
-    return _lines(documents, min_words, "doc_id bigint, row bigint, line int, n_words int, node bigint, bands array<bigint>", each)
+def row_hash() -> Column:
+    """With the doc_id, it tells rows apart; repeated rows are one."""
+    return F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
-def paragraph_texts(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    schema = pa.schema([("node", pa.int64()), ("text", pa.string())])
-
-    def each(found: list[tuple]) -> pa.RecordBatch:
-        texts = [normal(x[3]) for x in found]
-        return pa.RecordBatch.from_arrays([pa.array([signed(xxhash.xxh64_intdigest(t, 7)) for t in texts], pa.int64()), pa.array([t.decode("utf-8", "surrogatepass") for t in texts], pa.string())], schema=schema)
-
-    return _lines(documents, min_words, "node bigint, text string", each)
+def same_row(a: DataFrame, b: DataFrame) -> Column:
+    return (a["row"] == b["row"]) & a["doc_id"].eqNullSafe(b["doc_id"])
 
 
-class WordHashes(dict):
-    """Hashes of words, kept for up to a million of them."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 1_000_000:
-            self.clear()
-        self[word] = out = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 3)
-        return out
-
-
-def shifted(x: np.ndarray, by: int) -> np.ndarray:
-    """``x[i + by]`` at i; zero beyond the end."""
-    return np.concatenate([x[by:], np.zeros(min(by, len(x)), x.dtype)])
-
-
-def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """Hash of the ``n`` words from each place on."""
-    out, have, power, width = None, 0, words, 1
-    mixed = lambda a, b: (x := (a * FACTOR + b) * FACTOR) ^ (x >> np.uint64(32))
-    while True:
-        if n & width:
-            out = power if out is None else mixed(out, shifted(power, have))
-            have += width
-        if have == n:
-            return out
-        power, width = mixed(power, shifted(power, width)), 2 * width
+def _rows(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_hash().alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def slid(x: np.ndarray, n: int, least) -> np.ndarray:
@@ -161,7 +101,7 @@ class Words:
                 counts.append(len(w))
             lines.append(len(split))
             own.append(len(words) - before)
-        self.n = len(words)
+        self.n, self.words = len(words), words
         self.hashes = np.fromiter(map(hashes.__getitem__, words), np.uint64, self.n)
         self.text = np.repeat(np.arange(len(texts)), own)
         starts = np.cumsum([0, *own])[:-1]
@@ -170,7 +110,7 @@ class Words:
         #: lines numbered over the batch, and in their texts
         self.line_of_batch = np.repeat(np.arange(len(counts)), counts)
         self.line = self.line_of_batch - np.repeat(first_lines, own)
-        self.first_lines, self.lines = first_lines, len(counts)
+        self.first_lines, self.lines, self.counts = first_lines, len(counts), np.array(counts)
         self.end = np.repeat(np.cumsum(own), own)
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -180,24 +120,86 @@ class Words:
         fits = np.arange(self.n) + n <= self.end
         return short, np.where(fits, slid(short, n - k + 1, np.minimum), np.uint64(0)), fits
 
+    def anchors(self, n: int) -> np.ndarray:
+        """Places of the shingles that are anchors of grams of ``n`` words, and the shingles."""
+        short, least, _ = self.grams(n)
+        # the grams around a shingle have no larger anchors, so it is one's anchor if it is the largest of theirs
+        width = n - min(SHINGLE, n)
+        chosen = np.flatnonzero(slid(np.concatenate([np.zeros(width, np.uint64), least]), width + 1, np.maximum)[: self.n] == short)
+        return chosen, short[chosen]
+
+    def paragraphs(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First and number of words of the lines of at least ``least`` words, and hashes of their words in order."""
+        chosen = self.counts >= max(least, 1)
+        starts, counts = (np.cumsum(self.counts) - self.counts)[chosen], self.counts[chosen]
+        if not len(starts):
+            return starts, counts, np.zeros(0, np.int64)
+        inside = np.repeat(chosen, self.counts)
+        at, own = np.flatnonzero(inside), self.hashes[inside]
+        ends = np.cumsum(counts)
+        # a polynomial of the words' hashes, by their places in the line
+        powers = np.multiply.accumulate(np.full(int(counts.max()), FACTOR))
+        nodes = np.add.reduceat(own * powers[at - np.repeat(starts, counts)], ends - counts) * FACTOR
+        return starts, counts, (nodes ^ (nodes >> np.uint64(29))).view(np.int64)
+
+    def band_keys(self, starts: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
+        """Band keys of the shingles of ``k`` words (or of all, where there are fewer) of each of these lines."""
+        size = np.minimum(counts, k)
+        out = np.empty((len(starts), BANDS), np.int64)
+        for n in np.unique(size).tolist():
+            short, own = gram_hashes(self.hashes, n), size == n
+            sizes = counts[own] - n + 1
+            begins = np.cumsum(sizes) - sizes
+            places = np.arange(int(sizes.sum())) + np.repeat(starts[own] - begins, sizes)
+            out[own] = band_keys_of(short[places], begins)
+        return out
+
 
-def anchors(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``anchor, row`` of each place that is the anchor of a gram."""
-    schema = pa.schema([("anchor", pa.int64()), ("row", pa.int64())])
+SKETCHES = "doc_id bigint, row bigint, line int, n_words int, node bigint, bands array<bigint>, anchors array<bigint>, counts array<int>, copy_of binary"
+
+
+def sketches(documents: DataFrame, k: int = 5, min_words: int = MIN_WORDS) -> DataFrame:
+    """Of each line of at least ``min_words`` words ``doc_id, row, line, n_words, node, bands`` (node identifies its words), and of each document
+    a row with line -1, its ``anchors``, place by place, the words of each line (``counts``) and a hash of the text (``copy_of``). All in one pass over the words."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("line", pa.int32()), ("n_words", pa.int32()), ("node", pa.int64()), ("bands", pa.list_(pa.int64())), ("anchors", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("copy_of", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for b in slices(batches, 2_000_000):
+        for b in slices(batches, 1_000_000):
             w = Words(b.column(2).to_pylist(), hashes)
             if not w.n:
                 continue
-            short, least, _ = w.grams(min_words)
-            # the grams around a shingle have no larger anchors, so it is one's anchor if it is the largest of theirs
-            width = min_words - min(SHINGLE, min_words)
-            chosen = np.flatnonzero(slid(np.concatenate([np.zeros(width, np.uint64), least]), width + 1, np.maximum)[: w.n] == short)
-            yield pa.RecordBatch.from_arrays([pa.array(short[chosen].view(np.int64)), b.column(1).take(pa.array(w.text[chosen]))], schema=schema)
+            starts, counts, nodes = w.paragraphs(min_words)
+            if n := len(starts):
+                keys, of = w.band_keys(starts, counts, k), pa.array(w.text[starts])
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1]), pa.int32()), pa.array(keys.ravel(), pa.int64()))
+                columns = [b.column(0).take(of), b.column(1).take(of), pa.array(w.line[starts], pa.int32()), pa.array(counts, pa.int32()), pa.array(nodes), bands, *(pa.nulls(n, f.type) for f in list(schema)[6:])]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            chosen, anchors = w.anchors(min_words)
+            if len(chosen):
+                texts, sizes = np.unique(w.text[chosen], return_counts=True)
+                own = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(anchors.view(np.int64)))
+                of, m = pa.array(texts), len(texts)
+                counts = pa.ListArray.from_arrays(pa.array([*w.first_lines, w.lines], pa.int32()), pa.array(w.counts, pa.int32())).take(of)
+                keys = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in b.column(2).take(of).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), pa.array(np.full(m, -1), pa.int32()), *(pa.nulls(m, f.type) for f in list(schema)[3:6]), own, counts, pa.array(keys)], schema=schema)
+
+    return _rows(documents).mapInArrow(run, SKETCHES)
 
-    return _rows(documents).mapInArrow(run, "anchor bigint, row bigint")
+
+def paragraph_texts(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    schema = pa.schema([("node", pa.int64()), ("text", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in slices(batches, 1_000_000):
+            w = Words(b.column(2).to_pylist(), hashes)
+            starts, counts, nodes = w.paragraphs(min_words)
+            if len(starts):
+                own = [" ".join(w.words[a : a + n]) for a, n in zip(starts.tolist(), counts.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(own, pa.string())], schema=schema)
+
+    return _rows(documents).mapInArrow(run, "node bigint, text string")
 
 
 def placed_grams(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -208,7 +210,7 @@ def placed_grams(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for b in slices(batches, 2_000_000):
+        for b in slices(batches, 1_000_000):
             w = Words(b.column(2).to_pylist(), hashes)
             if not w.n:
                 continue
@@ -228,49 +230,59 @@ def placed_grams(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return rows.select("doc_id", "row", "text", "gone", "anchors").mapInArrow(run, "gram bigint, cut boolean, doc_id bigint, row bigint, line int, at int")
 
 
-def joined_runs(later: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Runs of the grams ``row, at, line, gram, doc_id, first_doc_id``, with the class and first document of their first gram."""
+RUNS = "doc_id bigint, row bigint, line int, n_words int, class_id bigint, first_doc_id bigint, from_unit int, to_unit int"
+
+
+def joined_runs(later: DataFrame, min_words: int = MIN_WORDS, gap: int = GAP) -> DataFrame:
+    """Runs of the grams ``row, at, line, gram, doc_id, first_doc_id, of, shift``, with the class and first document of their first gram.
+
+    ``of`` and ``shift`` tell the row of the first copy, and how many words further it stands there."""
     schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("line", pa.int32()), ("n_words", pa.int32()), ("class_id", pa.int64()), ("first_doc_id", pa.int64()), ("from_unit", pa.int32()), ("to_unit", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_run: list | None = None
+        tail: list[np.ndarray] | None = None
 
         def out(runs: list[list]) -> pa.RecordBatch:
-            done = [(doc_id, row, line, to + 1 - at, gram, first, at, to) for row, at, line, gram, doc_id, first, to in runs]
+            done = [(doc_id, row, line, to + 1 - at, gram, first, at, to) for row, at, line, gram, doc_id, first, _, _, to in runs]
             return pa.RecordBatch.from_arrays([pa.array([x[j] for x in done], f.type) for j, f in enumerate(schema)], schema=schema)
 
         for b in batches:
             if not b.num_rows:
                 continue
-            row, at = (b.column(j).to_numpy() for j in (0, 1))
-            starts = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (at[1:] > at[:-1] + min_words)]))
-            lasts = at[np.concatenate([starts[1:] - 1, [len(at) - 1]])] + min_words - 1
-            runs = [[*x.values(), to] for x, to in zip(b.take(pa.array(starts)).to_pylist(), lasts.tolist())]
-            if open_run is not None:
-                if open_run[0] == runs[0][0] and runs[0][1] <= open_run[-1] + 1:
-                    runs[0] = [*open_run[:-1], max(runs[0][-1], open_run[-1])]
-                else:
-                    runs.insert(0, open_run)
+            now = [b.column(j).to_numpy(zero_copy_only=False) for j in (0, 1, 6, 7)] + [b.column(4).fill_null(LEAST).to_numpy()]
+            (row, at, of, shift, doc), (row0, at0, of0, shift0, doc0) = now, [np.concatenate([x[:1] if tail is None else tail[j], x[:-1]]) for j, x in enumerate(now)]
+            far = at > at0 + min_words
+            near = (at <= at0 + min_words + gap) & (of == of0) & (np.abs(shift - shift0) <= gap)
+            opens = (row != row0) | (doc != doc0) | (far & ~near)
+            opens[0] |= tail is None
+            tail = [x[-1:] for x in now]
+            starts = np.flatnonzero(opens)
+            lasts = at[np.concatenate([starts[1:] - 1, [len(at) - 1]]).astype(int)] + min_words - 1
+            if not opens[0]:
+                open_run[-1] = int(at[(starts[0] if len(starts) else len(at)) - 1]) + min_words - 1
+            runs = ([] if open_run is None else [open_run]) + [[*x.values(), to] for x, to in zip(b.take(pa.array(starts)).to_pylist(), lasts.tolist())]
             open_run = runs.pop()
             yield out(runs)
         if open_run is not None:
             yield out([open_run])
 
-    rows = later.select("row", "at", "line", "gram", "doc_id", "first_doc_id").repartition("row").sortWithinPartitions("row", "at")
-    return rows.mapInArrow(run, "doc_id bigint, row bigint, line int, n_words int, class_id bigint, first_doc_id bigint, from_unit int, to_unit int")
+    rows = later.select("row", "at", "line", "gram", "doc_id", "first_doc_id", "of", "shift").repartition("row").sortWithinPartitions("row", "doc_id", "at")
+    return rows.mapInArrow(run, RUNS)
 
 
-def repeated_paragraphs(documents: DataFrame, k: int = 5, similarity: float = 0.8, min_words: int = MIN_WORDS, most: int = 400) -> DataFrame:
-    """``doc_id, row, line, n_words, class_id, first_doc_id, keep`` of the paragraphs that have similar ones."""
+def repeated_paragraphs(documents: DataFrame, sketched: DataFrame, k: int = 5, similarity: float = 0.8, min_words: int = MIN_WORDS, most: int = 400) -> DataFrame:
+    """``doc_id, row, line, n_words, class_id, first_doc_id, keep`` of the paragraphs that have similar ones. ``sketched``: written ``sketches``."""
     # repeated rows are one row
-    every = written(paragraphs(documents, k, min_words), "paragraphs")
+    every = sketched.filter("line >= 0").select("doc_id", "row", "line", "n_words", "node", "bands")
     distinct = written(every.groupBy("node").agg(F.first("bands").alias("bands"), F.min(F.struct("doc_id", "row", "line")).alias("first"), F.max(F.struct("doc_id", "row", "line")).alias("last")), "nodes")
     pairs = distinct.select(F.explode(F.array_distinct("bands")).alias("key"), "node")
 
     def texts_of(nodes: DataFrame) -> DataFrame:
         # from the first row of each node: its paragraphs are cut again, and those of other nodes dropped
-        wanted = distinct.join(nodes, "node", "left_semi").select("node", F.col("first.row").alias("row"))
-        rows = documents.withColumn("_own", row_id()).join(wanted.select(F.col("row").alias("_own")).distinct(), "_own", "left_semi").select("doc_id", "text")
+        wanted = distinct.join(nodes, "node", "left_semi").select("first.doc_id", "first.row").distinct()
+        rows = _rows(documents)
+        rows = rows.join(wanted, same_row(rows, wanted), "left_semi").select("doc_id", "text")
         return paragraph_texts(rows, min_words).join(nodes, "node", "left_semi").dropDuplicates(["node"]).select("node", F.lit(None).cast("bigint").alias("mark"), "text")
 
     found = similar_components(pairs, texts_of, k, similarity, 0, most)
@@ -280,36 +292,82 @@ def repeated_paragraphs(documents: DataFrame, k: int = 5, similarity: float = 0.
     return every.join(members, "node").select("doc_id", "row", "line", "n_words", "class_id", F.col("first.doc_id").alias("first_doc_id"), (F.struct("doc_id", "row", "line") == F.col("first")).alias("keep")).withColumn("from_unit", F.lit(-1)).withColumn("to_unit", F.lit(-1))
 
 
-def repeated_passages(documents: DataFrame, whole: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def copies_of(sketched: DataFrame) -> DataFrame:
+    """``doc_id, row, counts, first_doc_id`` of the documents with a text that an earlier one has."""
+    docs = sketched.filter("line < 0").select("doc_id", "row", "counts", "copy_of")
+    place = F.struct("doc_id", "row")
+    firsts = docs.groupBy("copy_of").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").select("copy_of", "first")
+    return docs.join(written(firsts, "texts"), "copy_of").filter(place != F.col("first")).select("doc_id", "row", "counts", F.col("first.doc_id").alias("first_doc_id")).dropDuplicates(["doc_id", "row"])
+
+
+def runs_of_copy(counts: np.ndarray, min_words: int) -> list[tuple[int, int, int]]:
+    """``line, from, to`` of the runs in a text of which everything occurs before: of its lines those of ``min_words`` words go whole, and what lies
+    wholly in them is not told again."""
+    n = int(counts.sum())
+    before = np.concatenate([[0], np.cumsum(np.repeat(counts >= min_words, counts))])
+    at = np.flatnonzero(before[min_words:] - before[: n - min_words + 1] < min_words) if n >= min_words else np.zeros(0, int)
+    if not len(at):
+        return []
+    opens = np.concatenate([[True], at[1:] > at[:-1] + min_words])
+    ends = at[np.concatenate([np.flatnonzero(opens)[1:] - 1, [len(at) - 1]])] + min_words - 1
+    return list(zip(np.searchsorted(np.cumsum(counts), at[opens], "right").tolist(), at[opens].tolist(), ends.tolist()))
+
+
+def copied_runs(copies: DataFrame, min_words: int) -> DataFrame:
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("line", pa.int32()), ("n_words", pa.int32()), ("class_id", pa.int64()), ("first_doc_id", pa.int64()), ("from_unit", pa.int32()), ("to_unit", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for doc_id, row, counts, first in zip(*(b.column(j).to_pylist() for j in range(4))):
+                found += [(doc_id, row, line, z + 1 - a, row, first, a, z) for line, a, z in runs_of_copy(np.array(counts, np.int64), min_words)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], f.type) for j, f in enumerate(schema)], schema=schema)
+
+    return copies.select("doc_id", "row", "counts", "first_doc_id").mapInArrow(run, RUNS)
+
+
+def repeated_passages(documents: DataFrame, sketched: DataFrame, whole: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id, row, line, n_words, class_id, first_doc_id, keep, from_unit, to_unit``: runs of words that occur before, where ``whole`` has
-    the repeated paragraphs. Units are the words of the text, numbered from 0; line is the one in which the run starts."""
-    every = written(anchors(documents, min_words), "anchors")
+    the repeated paragraphs. Units are the words of the text, numbered from 0; line is the one in which the run starts.
+
+    Of texts that are equal as a whole, the first is compared with others; all of a copy is repeated."""
+    copies = written(copies_of(sketched), "copies")
+    docs = sketched.filter("line < 0").select("doc_id", "row", "anchors")
+    docs = docs.join(copies, same_row(docs, copies), "left_anti")
+    every = docs.select("doc_id", "row", F.explode("anchors").alias("anchor"))
     again = written(every.groupBy("anchor").count().filter("count > 1").select("anchor"), "again")
     # a table of its own, so that the rows of a hot anchor may be split in the join; so with the grams
-    todo = every.join(again, "anchor").groupBy("row").agg(F.collect_set("anchor").alias("anchors"))
-    gone = whole.filter("not keep").groupBy("row").agg(F.collect_set("line").alias("gone"))
-    placed = written(placed_grams(_rows(documents).join(todo, "row").join(gone, "row", "left"), min_words), "placed")
+    todo = every.join(again, "anchor").groupBy("doc_id", "row").agg(F.collect_set("anchor").alias("anchors"))
+    gone = whole.filter("not keep").groupBy("doc_id", "row").agg(F.collect_set("line").alias("gone"))
+    texts = _rows(documents)
+    chosen = texts.join(todo, same_row(texts, todo)).select(texts["doc_id"], texts["row"], "text", "anchors")
+    chosen = chosen.join(gone, same_row(chosen, gone), "left").select(chosen["doc_id"], chosen["row"], "text", "anchors", "gone")
+    placed = written(placed_grams(chosen, min_words), "placed")
     place = F.struct("cut", "doc_id", "row", "at")
-    first = placed.groupBy("gram").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").select("gram", "first")
-    later = placed.join(written(first, "first"), "gram").filter(place != F.col("first")).withColumn("first_doc_id", F.col("first.doc_id"))
-    found = joined_runs(later, min_words).withColumn("keep", F.lit(False))
+    first = placed.groupBy("gram").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", "first")
+    later = placed.join(written(first, "first"), "gram").filter(place != F.col("first"))
+    later = later.select("doc_id", "row", "line", "at", "gram", F.col("first.doc_id").alias("first_doc_id"), F.xxhash64("first.doc_id", "first.row").alias("of"), (F.col("first.at") - F.col("at")).alias("shift"))
+    found = joined_runs(later, min_words).union(copied_runs(copies, min_words)).withColumn("keep", F.lit(False))
     return found.select("doc_id", "row", "line", "n_words", "class_id", "first_doc_id", "keep", "from_unit", "to_unit")
 
 
 def repeats(documents: DataFrame, k: int = 5, similarity: float = 0.8, min_words: int = MIN_WORDS) -> DataFrame:
     """Members of repeated-paragraph classes (``from_unit`` -1) and repeated passages inside paragraphs, with their class, the
     document where it is first, and whether this copy stays. Passages that lie in paragraphs that go are not told again."""
-    whole = written(repeated_paragraphs(documents, k, similarity, min_words), "repeated")
-    return whole.unionByName(repeated_passages(documents, whole, min_words))
+    sketched = written(sketches(documents, k, min_words), "sketches")
+    whole = written(repeated_paragraphs(documents, sketched, k, similarity, min_words), "repeated")
+    return whole.unionByName(repeated_passages(documents, sketched, whole, min_words))
 
 
 def drop_repeats(documents: DataFrame, k: int = 5, similarity: float = 0.8, min_words: int = MIN_WORDS) -> DataFrame:
     """``documents`` without repeated paragraphs and passages but their first copies; ``n_chars`` follows, where it is there."""
-    name = free_name(documents, "_row")
-    gone = repeats(documents, k, similarity, min_words).filter("not keep").groupBy("row").agg(F.collect_list(F.struct("line", "from_unit", "to_unit")).alias("_gone")).withColumnRenamed("row", name)
-    rows = documents.withColumn(name, row_id()).join(gone, name, "left").drop(name)
-    clean = rows.filter("_gone is null").select(*documents.columns)
-    cut = rows.filter("_gone is not null")
+    name, spans, own = free_name(documents, "_row"), free_name(documents, "_gone"), free_name(documents, "_doc")
+    gone = repeats(documents, k, similarity, min_words).filter("not keep").groupBy("row", "doc_id").agg(F.collect_list(F.struct("line", "from_unit", "to_unit")).alias(spans))
+    gone = gone.select(F.col("row").alias("_r"), F.col("doc_id").alias("_d"), spans)
+    rows = documents.withColumn(name, row_hash()).withColumn(own, F.col("doc_id").cast("bigint"))
+    rows = rows.join(gone, (rows[name] == gone["_r"]) & rows[own].eqNullSafe(gone["_d"]), "left").select(*[rows[c] for c in documents.columns], gone[spans])
+    clean = rows.filter(F.col(spans).isNull()).select(*documents.columns)
+    cut = rows.filter(F.col(spans).isNotNull())
     at, last = documents.columns.index("text"), len(documents.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bktree import BKTree
-from .clusters import Joined, band_keys, shingle_hashes, similar_components
+from .clusters import Joined, WordHashes, band_keys, set_hashes, shingle_hashes, similar_components
 from .common import free_name, slices, written
 
 BITS = 64
@@ -128,21 +128,24 @@ def _labelled(distinct: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def row_id() -> Column:
-    """Tells rows apart by doc_id and text; repeated rows are one."""
-    return F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text"), F.lit("")))
+    """Tells rows apart by doc_id and text, in 128 bits; repeated rows are one."""
+    doc_id, text = F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    half = lambda *parts: F.lpad(F.hex(F.xxhash64(*parts)), 16, "0")
+    return F.unhex(F.concat(half(doc_id, text), half(text, doc_id, F.lit(1))))
 
 
 def sketches(documents: DataFrame, k: int = 5) -> DataFrame:
     """``doc_id, row, node, mark, bands``: row identifies the row (see ``row_id``), node its words; mark is the SimHash fingerprint of the distinct and
     bands are the MinHash keys of the ``k``-word shingles (none for a text without words)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("node", pa.int64()), ("mark", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.binary()), ("node", pa.int64()), ("mark", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for b in slices(batches):
             nodes, marks, hashes = [], [], []
             for t in b.column(2).to_pylist():
                 words = words_of(t or "")
-                own = shingle_hashes(words, k)
+                own = set_hashes(words, k, known)
                 nodes.append(signed(xxhash.xxh64_intdigest(b" ".join(words), 7)))
                 marks.append(signed(fingerprint(np.unique(own))))
                 hashes.append(own)
@@ -152,14 +155,14 @@ def sketches(documents: DataFrame, k: int = 5) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(marks, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], schema=schema)
 
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_id().alias("row"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, row bigint, node bigint, mark bigint, bands array<bigint>")
+    return rows.mapInArrow(run, "doc_id bigint, row binary, node bigint, mark bigint, bands array<bigint>")
 
 
-def near_duplicate_groups(documents: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = 24, most: int = 400) -> DataFrame:
+def near_duplicate_groups(documents: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = 24, most: int = 400, *, own: DataFrame | None = None) -> DataFrame:
     """``node, root, doc_id, row``: for each distinct text (by its words) its group and its first document.
 
-    Texts are told apart by 64-bit hashes."""
-    own = written(sketches(documents, k), "sketches")
+    Texts are told apart by 64-bit hashes. ``own`` are the sketches, where they are written already."""
+    own = written(sketches(documents, k), "sketches") if own is None else own
     distinct = own.groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.first("mark").alias("mark"), F.first("bands").alias("bands"))
     distinct = written(distinct, "distinct")
     pairs = distinct.select(F.explode("bands").alias("key"), "node")
@@ -177,6 +180,15 @@ def near_duplicate_groups(documents: DataFrame, k: int = 5, similarity: float =
 def drop_near_duplicates(documents: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     """Rows of ``documents``, all columns, without near-duplicates: of each group the row with the smallest doc_id stays."""
     name = free_name(documents, "_row")
-    groups = near_duplicate_groups(documents, k, similarity)
-    kept = groups.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("kept")).select(F.col("kept.row").alias(name))
-    return documents.withColumn(name, row_id()).join(kept, name).dropDuplicates([name]).select(*documents.columns)
+    own = written(sketches(documents, k), "sketches")
+    groups = near_duplicate_groups(documents, k, similarity, own=own)
+    repeated = own.groupBy("row").count().filter("count > 1").select("row", F.lit(True).alias("again"))
+    kept = groups.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("kept")).select("kept.row").join(repeated, "row", "left")
+    kept = written(kept.select(F.col("row").alias(name), F.col("again").isNotNull().alias("again")), "kept")
+    rows = documents.withColumn(name, row_id())
+    once = rows.join(kept.filter("not again").select(name), name, "left_semi")
+    if kept.filter("again").isEmpty():
+        return once.select(*documents.columns)
+    # only rows that are repeated as a whole are dealt again to leave one of each
+    again = rows.join(kept.filter("again").select(name), name, "left_semi").dropDuplicates([name])
+    return once.union(again).select(*documents.columns)

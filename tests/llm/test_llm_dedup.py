@@ -209,3 +209,68 @@ def test_near_copies_that_repeat_a_line_differently_often(spark):
     assert all(len(a & b) >= 0.8 * len(a | b) for a, b in zip(own[::2], own[1::2]))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()) == list(range(0, len(texts), 2))
+
+
+def test_a_changed_word_does_not_split_a_passage(spark):
+    rng = random.Random(33)
+    words = lambda n: [f"g{rng.randrange(10**6)}" for _ in range(n)]
+    passage, other = words(70), words(60)
+    near, far = list(passage), list(passage)
+    near[34:35] = ["new", "words"]  # one word for two
+    far[30:40] = words(10)
+    texts = [words(40) + passage + words(30), words(33) + near + words(20), words(20) + far + words(20), words(30) + other[:30] + words(40), words(35) + other[30:] + words(20), words(11) + other[:30] + ["x"] + other[30:]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)
+    got = sorted((r["doc_id"], r["from_unit"], r["to_unit"], r["first_doc_id"]) for r in passages.repeats(docs).filter("from_unit >= 0").collect())
+    # two passages of two documents stay two, though a word apart
+    assert got == [(1, 33, 103, 0), (2, 20, 49, 0), (2, 60, 89, 0), (5, 11, 40, 3), (5, 42, 71, 4)]
+
+
+def test_runs_do_not_depend_on_the_batches(spark):
+    rng = random.Random(8)
+    rows = []
+    for d in range(6):
+        at = 0
+        for _ in range(60):
+            at += rng.choice([1, 1, 1, 5, 25, 26, 27, 28, 29, 40])
+            rows.append((d * 7 - 9, at, 0, 7, d if d else None, 0, rng.randrange(2), rng.choice([0, 0, 0, 2, 9])))
+    later = spark.createDataFrame(rows, "row bigint, at int, line int, gram bigint, doc_id bigint, first_doc_id bigint, of bigint, shift int")
+    want, now = [], None
+    for row, at, _, _, d, _, of, shift in rows:
+        if now and now[0] == row and (at <= now[2] + 25 or at <= now[2] + 28 and of == now[3] and abs(shift - now[4]) <= 3):
+            now[2:] = [at, of, shift]
+        else:
+            now = [row, at, at, of, shift]
+            want.append(now)
+    for size in (1, 7, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got = sorted((r["row"], r["from_unit"], r["to_unit"]) for r in passages.joined_runs(later).collect())
+        assert got == sorted((d, a, z + 24) for d, a, z, _, _ in want)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_copies_of_whole_texts(spark):
+    rng = random.Random(14)
+    words = lambda n: [f"c{rng.randrange(10**6)}" for _ in range(n)]
+    lines = [words(10), words(40), words(20), words(20), words(12), words(30)]
+    text = "\n".join(" ".join(x) for x in lines)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([text, text, "short text", "short text", text + " more", text])], "doc_id bigint, text string").repartition(2)
+    got = [(r["doc_id"], r["line"], r["keep"], r["first_doc_id"], r["from_unit"], r["to_unit"]) for r in passages.repeats(docs).collect()]
+    whole = [(d, k, d == 0, 0, -1, -1) for d in (0, 1, 4, 5) for k in (1, 5)]
+    # lines that go hold words 10 to 49 and 102 to 131
+    assert sorted(got) == sorted(whole + [(d, 0, False, 0, 0, 125) for d in (1, 4, 5)])
+    assert {r["doc_id"]: r["text"] for r in passages.drop_repeats(docs).collect()} == {0: text, 2: "short text", 3: "short text"}
+
+
+def test_nulls_repeated_rows_and_clashing_columns(spark):
+    rng = random.Random(12)
+    text = " ".join(f"k{rng.randrange(10**6)}" for _ in range(80))
+    rows = [(None, text, 1), (None, text, 2), (4, text + " end", 3), (4, text + " end", 3), (None, None, 4), (9, "", 5), (9, "", 5), (7, text.upper(), 6)]
+    names = ["_row", "_gone", "row", "line", "_own", "key", "node", "again", "count"]
+    docs = spark.createDataFrame([(*r, *[f"{c}{r[2]}" for c in names]) for r in rows], "doc_id bigint, text string, n_chars bigint, " + ", ".join(f"{c} string" for c in names))
+    kept = simhash.drop_near_duplicates(docs)
+    # null ids come first; one row stays of rows that are repeated, and of texts without words one
+    assert kept.columns == docs.columns and sorted((str(r["doc_id"]), (r["text"] or "")[:5]) for r in kept.collect()) == [("None", ""), ("None", text[:5])]
+    left = passages.drop_repeats(docs)
+    assert left.columns == docs.columns
+    assert sorted((str(r["doc_id"]), (r["text"] or "")[:5], r["_gone"]) for r in left.collect()) == [("9", "", "_gone5"), ("9", "", "_gone5"), ("None", "", "_gone4"), ("None", text[:5], "_gone1"), ("None", text[:5], "_gone2")]
+    assert simhash.link_documents(docs).count() == len(rows)
