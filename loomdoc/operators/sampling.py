@@ -36,6 +36,8 @@ def diverse(rows: DataFrame, group: str, kind: str, order: list[str], n: int) ->
 
 def nearest(rows: DataFrame, column: str, wanted: list[float], id_col: str, threshold: float, n: int) -> DataFrame:
     """The ``n`` rows with the highest cosine similarity above ``threshold``, ties by id."""
+    if not wanted:
+        return rows.withColumn("similarity", F.lit(0.0)).limit(0)
     scored = rows.withColumn("similarity", cosine(F.col(column), F.array(*[F.lit(x) for x in wanted])))
     return scored.filter(F.col("similarity") > threshold).orderBy(F.desc("similarity"), id_col).limit(n)
 

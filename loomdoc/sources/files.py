@@ -11,6 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.rules import continued, in_a_table
+from ..functions.text import is_contents
+
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 FALLBACK = "{http://schemas.openxmlformats.org/markup-compatibility/2006}Fallback"
 # Font sizes of heading levels, and of text without a size.
@@ -112,3 +115,24 @@ def read_json(spark: SparkSession, path: str, limit: int | None = None) -> DataF
     if "documents" in rows.columns:
         rows = rows.select(F.inline("documents"))
     return rows.orderBy("id").limit(limit) if limit is not None else rows
+
+
+def pdf_pages(spans: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """``document_id, page, blocks`` (structs of text, y0, y1, font, is_table) of PDF pages, from spans ``document_id, page, height, x0, y0, x1, y1, text,
+    font_size`` and boxes of tables ``document_id, page, x0, y0, x1, y1``.
+
+    Margins and spans inside tables are left out, spans of a line joined (wide gaps with a bar), blocks that go on joined with the one before.
+    Pages of contents among the first two are left out. A page is one row: what its sorts see is one page."""
+    if tables is not None:
+        boxes = tables.groupBy("document_id", "page").agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("_tables"))
+        spans = spans.join(boxes, ["document_id", "page"], "left")
+        spans = spans.filter(F.col("_tables").isNull() | ~in_a_table(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), F.col("_tables"))).drop("_tables")
+    inside = spans.filter((F.col("y0") >= 0.05 * F.col("height")) & (F.col("y1") <= 0.92 * F.col("height")))
+    lines = inside.groupBy("document_id", "page", "y0").agg(F.sort_array(F.collect_list(F.struct("x0", "text", "x1"))).alias("s"), F.max("y1").alias("y1"), F.min("x0").alias("x0"), F.max("font_size").alias("font"))
+    gap = lambda s, i: s["x0"] - F.get("s", i - 1)["x1"]
+    parts = F.transform("s", lambda s, i: F.concat(F.when(i == 0, "").when(gap(s, i) > 20, " | ").otherwise(" "), s["text"]))
+    text = F.regexp_replace(F.array_join(parts, ""), r"[ \t]+", " ")
+    items = lines.groupBy("document_id", "page").agg(F.sort_array(F.collect_list(F.struct("y0", "x0", text.alias("text"), "y1", "font"))).alias("i"))
+    blocks = continued(F.transform("i", lambda b: F.struct(b["text"].alias("text"), b["y0"].cast("double").alias("y0"), b["y1"].cast("double").alias("y1"), b["font"].cast("double").alias("font"), F.lit(False).alias("is_table"))))
+    pages = items.select("document_id", "page", blocks.alias("blocks"))
+    return pages.filter((F.col("page") > 2) | ~is_contents(F.array_join(F.transform("blocks", lambda b: b["text"]), "\n")))

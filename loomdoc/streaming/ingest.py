@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -10,6 +10,16 @@ from ..functions.text import content_hash
 from ..operators.store import new_rows
 
 
+PREFIX = 2
+TABLE = "document_id bigint, chunk_index int, content string, content_hash string, batch bigint, prefix string"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a folder in whatever store the path names."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def chunks_of(documents: DataFrame) -> DataFrame:
     """A chunk a line, with its hash."""
     lines = documents.select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n", -1)).alias("chunk_index", "content"))
@@ -17,16 +27,20 @@ def chunks_of(documents: DataFrame) -> DataFrame:
 
 
 def append_new(chunks: DataFrame, path: str, batch: int) -> None:
-    """Appends chunks that the table at ``path`` doesn't hold; each batch is a folder of its own, overwritten when it is tried again."""
+    """Appends chunks that the table at ``path`` doesn't hold; each batch is a folder of its own, overwritten when it is tried again.
+
+    The table is partitioned by the first hex digits of the hashes, and only those of the batch's hashes are read: small batches read little of it."""
     spark = chunks.sparkSession
     first = chunks.groupBy("content_hash", "document_id").agg(F.min_by(F.struct("chunk_index", "content"), "chunk_index").alias("c")).select("document_id", "c.chunk_index", "c.content", "content_hash")
+    first = first.withColumn("prefix", F.substring("content_hash", 1, PREFIX))
     known = spark.createDataFrame([], "content_hash string, document_id bigint")
-    try:
-        known = spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/batches").filter(F.col("batch") != batch).select("content_hash", "document_id")
-    except Exception as e:  # noqa: BLE001  nothing has been written yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    new_rows(first, known, ["content_hash", "document_id"]).withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{path}/batches/{batch}")
+    if exists(spark, f"{path}/batches"):
+        # at most 16 ** PREFIX values
+        wanted = [r["prefix"] for r in first.select("prefix").distinct().collect()]
+        table = spark.read.schema(TABLE).option("basePath", f"{path}/batches").parquet(f"{path}/batches")
+        known = table.filter(F.col("prefix").isin(wanted) & (F.col("batch") != batch)).select("content_hash", "document_id")
+    rows = new_rows(first, known, ["content_hash", "document_id"])
+    rows.select("document_id", "chunk_index", "content", "content_hash", "prefix").write.mode("overwrite").partitionBy("prefix").parquet(f"{path}/batches/batch={batch}")
 
 
 def ingest(documents: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
