@@ -28,8 +28,8 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated paragraphs with their class, and repeated passages inside paragraphs."""
-    return passages.repeats(read(spark, sf_dir, "documents")).drop("row")
+    """Repeated paragraphs and passages with their class and the document of the first copy, which is not listed itself."""
+    return passages.repeats(read(spark, sf_dir, "documents")).filter("not keep").drop("row", "keep")
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
