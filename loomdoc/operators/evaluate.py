@@ -124,3 +124,10 @@ def with_judge_errors(scores: DataFrame, failed: Column, absent: Column) -> Data
     quality = F.when(failed, ABSENT["quality"]).when(absent, 0.5).otherwise(F.col("avg_quality"))
     passed = F.when(failed, False).otherwise(quality >= PASS)
     return scores.select(*[c for c in scores.columns if c not in TRIAD and c not in ("avg_quality", "passed")], *triad, quality.alias("avg_quality"), passed.alias("passed"))
+
+
+def layer_summary(scores: DataFrame) -> DataFrame:
+    """One row: means of the layers. A missing score of the triad counts as its constant; rows without completeness don't count for its mean."""
+    mean = lambda c: F.round(F.avg(F.coalesce(c, F.lit(ABSENT["rag"]))), 5).alias(f"avg_{c}")
+    passed = F.round(F.try_divide(100.0 * F.count_if(F.col("completeness") >= PASS), F.count(F.lit(1))), 2)
+    return scores.agg(F.count(F.lit(1)).alias("evaluated"), mean("relevance"), mean("groundedness"), F.round(F.avg("completeness"), 5).alias("avg_completeness"), F.count("completeness").alias("with_completeness"), passed.alias("pass_rate"))

@@ -51,3 +51,12 @@ def anchors(rows: DataFrame, group: str, order: str, admin: Column, sample: int
     chosen = chosen.withColumn("_r", F.row_number().over(w.orderBy("rn"))).filter(F.col("_r") <= n).withColumn("_n", F.count(F.lit(1)).over(w))
     share = F.greatest(F.lit(400), F.expr("cast(20000 div _n as int)"))
     return chosen.withColumn("cut", F.substr(text, F.lit(1), share)).drop("_admin", "_enough", "_r", "_n")
+
+
+def containing(rows: DataFrame, column: str, wanted: dict) -> DataFrame:
+    """Rows whose JSON object in ``column`` has every key of ``wanted`` with its value (text, number or truth value). Broken JSON contains nothing."""
+    kinds = {str: "string", bool: "boolean", int: "bigint", float: "double"}
+    parsed = F.try_parse_json(column)
+    for key, value in wanted.items():
+        rows = rows.filter(F.try_variant_get(parsed, f"$.{key}", kinds[type(value)]) == F.lit(value))
+    return rows
