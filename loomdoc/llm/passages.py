@@ -40,7 +40,6 @@ SHINGLE = 8
 GAP = 3
 LEAST = -(2**63)
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
-END = re.compile(r"[.!?。…]['\")\]»”]*$")
 SENTENCES = re.compile(r"(?<=[.!?。…])\s+")
 
 

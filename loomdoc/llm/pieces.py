@@ -17,7 +17,6 @@ from __future__ import annotations
 import re
 from collections import deque
 from collections.abc import Iterator
-from itertools import chain
 
 import ahocorasick
 import numpy as np
