@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -12,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: list[str] = []
+#: Seconds between two looks of the collector, and when the last was.
+FREE_SECONDS = 5.0
+_freed = [0.0]
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
@@ -35,7 +39,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = shared_dir(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     # the shuffles behind the table are done with; Spark removes their files once the driver's collector has seen that
-    spark.sparkContext._jvm.java.lang.System.gc()
+    if time.monotonic() - _freed[0] > FREE_SECONDS:
+        spark.sparkContext._jvm.java.lang.System.gc()
+        _freed[0] = time.monotonic()
     return spark.read.schema(df.schema).parquet(path)
 
 
