@@ -202,19 +202,25 @@ def fresh_pairs(members: DataFrame, texts: DataFrame, k: int, level: int) -> Dat
     return members.join(bands, "node").select(F.explode(F.transform("bands", lambda x: F.xxhash64("key", x))).alias("key"), "node")
 
 
-def similar_components(pairs: DataFrame, texts_of, k: int = 5, similarity: float = 0.8, radius: int = 24, most: int = SHARD, level: int = 0) -> DataFrame:
+def similar_components(pairs: DataFrame, texts_of, k: int = 5, similarity: float = 0.8, radius: int = 24, most: int = SHARD) -> DataFrame:
     """``node, root`` of nodes joined by links of at least ``similarity`` between nodes that share a key.
 
     ``pairs(key, node)`` has each pair once; ``texts_of(nodes)`` gives ``node, mark, text`` of the nodes in a one-column table."""
+    links, joined = similar_links(pairs, texts_of, k, similarity, radius, most)
+    return links.select(F.col("a").alias("node"), F.col("b").alias("root")) if joined else components(links)
+
+
+def similar_links(pairs: DataFrame, texts_of, k: int, similarity: float, radius: int, most: int, level: int = 0) -> tuple[DataFrame, bool]:
+    """Links ``a, b`` for ``similar_components``, and whether they are its nodes and roots already."""
     lists, large = shards(pairs, most)
     lists = written(lists, "shards")
     nodes = lists.select(F.explode("members").alias("node")).distinct()
     texts = written(texts_of(nodes), "texts")
     links = written(verified(lists, texts, k, similarity, radius), "verified")
-    found = components(links)
     if large.isEmpty():
-        return found
-    found = written(found, "components")
+        return links, False
+    found = written(components(links), "components")
+    stars = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
     # members of a large group that are apart from its pivot have still to meet the others
     rooted = pairs.join(large, "key").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     main = large.join(found, large["pivot"] == found["node"], "left").select("key", F.coalesce("root", "pivot").alias("main"))
@@ -222,15 +228,14 @@ def similar_components(pairs: DataFrame, texts_of, k: int = 5, similarity: float
     half = max(1, most // 2)
     apart = rooted.filter("apart").groupBy("key").agg(F.ceil(F.count(F.lit(1)) / half).cast("int").alias("rest"))
     if apart.isEmpty():
-        return found
+        return stars, True
     if level < LEVELS:
         again = written(fresh_pairs(rooted.join(apart, "key", "left_semi").select("key", "node"), texts, k, level + 1), "fresh")
-        more = similar_components(again, lambda nodes: texts.join(nodes, "node", "left_semi"), k, similarity, radius, most, level + 1)
-        return components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more.select("node", "root")))
+        more, _ = similar_links(again, lambda nodes: texts.join(nodes, "node", "left_semi"), k, similarity, radius, most, level + 1)
+        return stars.union(more), False
     parts = F.ceil(F.col("cnt") / half).cast("int")
     every = rooted.join(apart, "key")
     whole = every.select("key", F.pmod(F.xxhash64("node"), parts).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("rest") - 1)).alias("other"), "node")
     rest = every.filter("apart").select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("block"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("rest")).cast("int").alias("other"), "node")
     more = whole.union(rest).groupBy("key", "block", "other").agg(F.sort_array(F.collect_set("node")).alias("members")).filter("size(members) > 1").select("members").distinct()
-    again = verified(more, texts, k, similarity, radius)
-    return components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(again))
+    return stars.union(verified(more, texts, k, similarity, radius)), False
