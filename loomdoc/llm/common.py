@@ -42,7 +42,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     if time.monotonic() - _freed[0] > FREE_SECONDS:
         spark.sparkContext._jvm.java.lang.System.gc()
         _freed[0] = time.monotonic()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def removed(table: DataFrame) -> None:
+    """Deletes the files of a table that ``written`` gave, once nothing reads it any more."""
+    spark = table.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._written_at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def batch(schema: pa.Schema, columns: dict[str, list]) -> pa.RecordBatch:
