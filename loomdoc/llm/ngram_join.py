@@ -1,13 +1,13 @@
 """Similarity join of documents by the Jaccard similarity of their word n-grams, over prefix trees.
 
-A set's n-grams are 62-bit hashes in one global order: rare ones first, then by hash. Sets of at least the similarity share one of the first ``n - ceil(t n) + 1``
+A set's n-grams are 62-bit hashes in one global order: common ones last, else by hash. Sets of at least the similarity share one of the first ``n - ceil(t n) + 1``
 of each (the prefix), so the join meets them by those. Three steps, each whole:
 
 1. Equal sets are one. Sets that share a MinHash band stand in shards, where a prefix tree of whole sets joins those that are similar. This
    finds nearly all links, but not for certain.
-2. N-grams that are in many prefixes, or in many of the sets that have such ones, come last in the order (the commonest, a bounded number, are told to all tasks; any order gives the same links).
-   Of each n-gram's sets (those with it in their prefix), all but those already joined with each other meet in shards, where a prefix tree of the prefixes
-   alone gives pairs that may still be similar. N-grams of one component only, nearly all, need nothing. With the order fixed, this loses no pair.
+2. N-grams that are common among those of low hashes, or in sets with many such ones, come last in the order (the commonest, a bounded number, are told to all tasks; any order gives the same links).
+   Each n-gram's sets (those with it in their prefix) meet in shards, unless all are joined already; a prefix tree of the prefixes alone (upper bits of their
+   order keys) gives the pairs that may still be similar. Equal member lists are one. With the order fixed, this loses no pair.
 3. These pairs are compared exactly, and all links make the components.
 
 N-grams of very many prefixes are dealt: the sets apart from the n-gram's largest component meet all of its sets in blocks of bounded size.
@@ -19,11 +19,12 @@ count in a component only if nothing else is there; repeated rows stay apart; em
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import inf
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .clusters import WordHashes, band_keys, set_hashes, shards
@@ -58,9 +59,15 @@ def lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(flat.view(np.int64)))
 
 
+def extended(n: int, num: int, den: int) -> int:
+    """N-grams that a sketch keeps: the prefix, what may take the places of common ones, and the next one."""
+    p = prefix_length(n, num, den)
+    return p + p // 8 + 4
+
+
 def sketches(documents: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """``doc_id, row, n, node, bands, prefix``: node identifies the set (null if empty); prefix is in the order of the hashes alone."""
-    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.binary()), ("n", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
+    """``doc_id, row, n, node, bands, low``: node identifies the set (null if empty); low are its lowest n-grams (see ``extended``)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.binary()), ("n", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64())), ("low", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -69,16 +76,16 @@ def sketches(documents: DataFrame, k: int, num: int, den: int) -> DataFrame:
             full = [s << np.uint64(2) for s in sets if len(s)]
             keys = iter(band_keys(full)) if full else iter(())
             bands = [next(keys) if len(s) else np.zeros(0, np.int64) for s in sets]
-            prefixes = [s[: prefix_length(len(s), num, den)] for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(digest, sets), pa.binary()), lists(bands), lists(prefixes)], schema=schema)
+            low = [s[: extended(len(s), num, den)] for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(digest, sets), pa.binary()), lists(bands), lists(low)], schema=schema)
 
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_id().alias("row"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, row binary, n bigint, node binary, bands array<bigint>, prefix array<bigint>")
+    return rows.mapInArrow(run, "doc_id bigint, row binary, n bigint, node binary, bands array<bigint>, low array<bigint>")
 
 
 def sets_of(documents: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """``node, grams`` of ``nodes(node, row)``, from the texts of their rows."""
-    schema = pa.schema([("node", pa.binary()), ("grams", pa.list_(pa.int64()))])
+    """``id, grams`` of ``nodes(id, row)``, from the texts of their rows."""
+    schema = pa.schema([("id", pa.int64()), ("grams", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -86,7 +93,7 @@ def sets_of(documents: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), lists([grams(t, k, known) for t in b.column(1).to_pylist()])], schema=schema)
 
     docs = documents.select(row_id().alias("row"), F.col("text").cast("string").alias("text"))
-    return docs.join(nodes.select("node", "row"), "row").dropDuplicates(["row"]).select("node", "text").mapInArrow(run, "node binary, grams array<bigint>")
+    return docs.join(nodes.select("id", "row"), "row").dropDuplicates(["row"]).select("id", "text").mapInArrow(run, "id bigint, grams array<bigint>")
 
 
 def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -105,16 +112,16 @@ def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield members
 
 
-PAIR = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def pairs_of(found: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], pa.binary()) for j in (0, 1)], schema=PAIR)
+    return pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], pa.int64()) for j in (0, 1)], schema=PAIR)
 
 
 def in_shards(members: DataFrame, others: DataFrame) -> DataFrame:
-    """The rows of ``others`` (by node) in each list of ``members``, list after list."""
-    rows = members.select(F.xxhash64("members").alias("shard"), F.explode("members").alias("node")).join(others, "node")
+    """The rows of ``others`` (by id) in each list of ``members``, list after list."""
+    rows = members.select(F.xxhash64("members").alias("shard"), F.explode("members").alias("id")).join(others, "id")
     return rows.select("shard", *others.columns).repartition("shard").sortWithinPartitions("shard")
 
 
@@ -123,67 +130,64 @@ def whole_links(members: DataFrame, sets: DataFrame, num: int, den: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in by_shard(batches):
-            yield pairs_of(similar([Member(node, len(own), own.tolist()) for node, own in rows], num, den))
+            yield pairs_of(similar([Member(id_, len(own), own.tolist()) for id_, own in rows], num, den))
 
-    return in_shards(members, sets.select("node", "grams")).mapInArrow(run, "a binary, b binary")
+    return in_shards(members, sets.select("id", "grams")).mapInArrow(run, "a bigint, b bigint")
 
 
-def told(counts: DataFrame) -> np.ndarray:
-    """The commonest of ``counts(gram, n)``, a bounded number."""
-    found = counts.filter(F.col("n") > COMMON).orderBy(F.desc("n"), "gram").limit(TOLD).select("gram").toArrow()
+def told(rows: DataFrame) -> np.ndarray:
+    """The commonest n-grams of ``rows(gram)``, a bounded number."""
+    counts = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > COMMON)
+    found = counts.orderBy(F.desc("n"), "gram").limit(TOLD).select("gram").toArrow()
     return np.sort(found.column(0).to_numpy())
 
 
-def counted(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-
+def packed(order: np.ndarray) -> bytes:
+    """The upper 24 bits of order keys, byte by byte of them (rising numbers, so that the first bytes compress well)."""
+    upper = (order >> np.uint64(39)).astype(np.uint32)
+    return b"".join((upper >> np.uint32(shift) & np.uint32(255)).astype(np.uint8).tobytes() for shift in (16, 8, 0))
 
-def marked(rows: DataFrame, common: np.ndarray) -> DataFrame:
-    """``node`` of the rows with a common n-gram in ``prefix``."""
-    shared = rows.sparkSession.sparkContext.broadcast(common)
-    schema = pa.schema([("node", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = b.column(1)
-            hits = np.isin(own.flatten().to_numpy(), shared.value)
-            starts = own.offsets.to_numpy() - own.offsets[0].as_py()
-            sums = np.concatenate([[0], np.cumsum(hits)])
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(sums[starts[1:]] > sums[starts[:-1]]))], schema=schema)
 
-    return rows.select("node", "prefix").mapInArrow(run, "node binary")
+def known_part(own: bytes, n: int) -> tuple[list[int], float]:
+    """Numbers that stand for the n-grams of a prefix, and a limit below which they are all of the set's. Different n-grams with one number only make sets look more alike."""
+    planes = np.frombuffer(own, np.uint8).reshape(3, -1).astype(np.int64)
+    upper = planes[0] << 16 | planes[1] << 8 | planes[2]
+    if n <= len(upper):
+        return np.unique(upper).tolist(), inf
+    return np.unique(upper[upper < upper[-1]]).tolist(), int(upper[-1])
 
 
-def late_prefixes(sets: DataFrame, common: np.ndarray, num: int, den: int) -> DataFrame:
-    """``node, prefix`` with the common n-grams last in the order."""
-    shared = sets.sparkSession.sparkContext.broadcast(common)
-    schema = pa.schema([("node", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+def prefixes_of(rows: DataFrame, common: np.ndarray, num: int, den: int) -> DataFrame:
+    """``id, n, prefix, packed`` of ``rows(id, n, low)`` with the common n-grams last in the order; prefix is null where the low ones do not tell it."""
+    shared = rows.sparkSession.sparkContext.broadcast(common)
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("packed", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for x in b.column(1):
-                own = x.values.to_numpy()
+            out, keep = [], []
+            for n, x in zip(b.column(1).to_pylist(), b.column(2)):
+                own, p = x.values.to_numpy(), prefix_length(n, num, den)
                 late = np.isin(own, shared.value)
-                order = np.concatenate([own[~late].view(np.uint64), own[late].view(np.uint64) | LATE])
-                out.append(order[: prefix_length(len(own), num, den)])
-            yield pa.RecordBatch.from_arrays([b.column(0), lists(out)], schema=schema)
-
-    return sets.select("node", "grams").mapInArrow(run, "node binary, prefix array<bigint>")
+                rest = own[~late].view(np.uint64)
+                if len(own) == n:
+                    rest = np.concatenate([rest, own[late].view(np.uint64) | LATE])
+                known = len(rest) >= min(n, p + 1)
+                out.append(rest[:p] if known else rest[:0])
+                keep.append(packed(rest[: p + 1]) if known else None)
+            valid = pa.array([x is not None for x in keep], pa.bool_())
+            prefix = pa.compute.if_else(valid, lists(out), pa.nulls(len(out), schema.field(2).type))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), prefix, pa.array(keep, pa.binary())], schema=schema)
 
-
-def known_part(prefix: np.ndarray) -> tuple[list[int], int]:
-    """The order keys, and the first number above them: all of the set below it is known."""
-    return prefix.tolist(), int(prefix[-1]) + 1
+    return rows.select("id", "n", "low").mapInArrow(run, "id bigint, n bigint, prefix array<bigint>, packed binary")
 
 
 def shared_lists(prefixes: DataFrame, most: int) -> DataFrame:
-    """Member lists (at most about ``most`` nodes) of the n-grams in the prefixes of sets with different roots. ``prefixes(node, root, prefix)``."""
-    rows = prefixes.select(F.explode("prefix").alias("gram"), "node", F.xxhash64("root").alias("root"))
+    """Member lists (at most about ``most`` ids) of the n-grams in the prefixes of sets with different roots. ``prefixes(id, root, prefix)``."""
+    rows = prefixes.select(F.explode("prefix").alias("gram"), "id", "root")
     groups = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("cnt"), F.min("root").alias("low"), F.max("root").alias("high")).filter("cnt > 1 and low != high")
     groups = written(groups.select("gram", "cnt"), "mixed")
     members = written(rows.join(groups, "gram"), "members")
-    small = members.filter(F.col("cnt") <= most).groupBy("gram").agg(F.sort_array(F.collect_list("node")).alias("members")).select("members")
+    small = members.filter(F.col("cnt") <= most).groupBy("gram").agg(F.sort_array(F.collect_list("id")).alias("members")).select("members")
     large = members.filter(F.col("cnt") > most)
     if large.isEmpty():
         return small.distinct()
@@ -192,10 +196,10 @@ def shared_lists(prefixes: DataFrame, most: int) -> DataFrame:
     main = sums.groupBy("gram").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.ceil((F.sum("n") - F.max("n")) / half).cast("int").alias("rest"))
     every = large.join(written(main, "main"), "gram").withColumn("parts", F.ceil(F.col("cnt") / half).cast("int"))
     spread = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    block = lambda c, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(c)).cast("int")
-    whole = every.select("gram", block("parts", 0).alias("block"), spread("rest").alias("other"), "node")
-    apart = every.filter("root != main").select("gram", spread("parts").alias("block"), block("rest", 1).alias("other"), "node")
-    dealt = whole.union(apart).groupBy("gram", "block", "other").agg(F.sort_array(F.collect_set("node")).alias("members")).filter("size(members) > 1")
+    block = lambda c, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(c)).cast("int")
+    whole = every.select("gram", block("parts", 0).alias("block"), spread("rest").alias("other"), "id")
+    apart = every.filter("root != main").select("gram", spread("parts").alias("block"), block("rest", 1).alias("other"), "id")
+    dealt = whole.union(apart).groupBy("gram", "block", "other").agg(F.sort_array(F.collect_set("id")).alias("members")).filter("size(members) > 1")
     return small.union(dealt.select("members")).distinct()
 
 
@@ -205,10 +209,10 @@ def open_pairs(members: DataFrame, prefixes: DataFrame, num: int, den: int) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in by_shard(batches):
             rows.sort(key=lambda x: x[0])
-            found = candidates([Member(node, n, *known_part(prefix)) for node, n, _, prefix in rows], [x[2] for x in rows], num, den)
+            found = candidates([Member(id_, n, *known_part(own, n)) for id_, n, _, own in rows], [x[2] for x in rows], num, den)
             yield pairs_of([(min(x), max(x)) for x in found])
 
-    return in_shards(members, prefixes.select("node", "n", "root", "prefix")).mapInArrow(run, "a binary, b binary")
+    return in_shards(members, prefixes.select("id", "n", "root", "packed")).mapInArrow(run, "a bigint, b bigint")
 
 
 def compared(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -223,40 +227,51 @@ def compared(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
                 keep.append(den * both >= num * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], schema=PAIR).filter(pa.array(keep, pa.bool_()))
 
-    left, right = (sets.select(F.col("node").alias(c), F.col("grams").alias(f"grams_{c}")) for c in ("a", "b"))
+    left, right = (sets.select(F.col("id").alias(c), F.col("grams").alias(f"grams_{c}")) for c in ("a", "b"))
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "grams_a", "grams_b")
-    return rows.mapInArrow(run, "a binary, b binary")
+    return rows.mapInArrow(run, "a bigint, b bigint")
 
 
 def link_documents(documents: DataFrame, k: int = 4, num: int = 85, den: int = 100, most: int = MOST) -> DataFrame:
     """``doc_id, n_shingles, component_id``: size of the set of ``k``-word n-grams, and the smallest doc_id that links of similarity ``num / den`` reach."""
     own = written(sketches(documents, k, num, den), "sketches")
-    firsts = own.filter("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("first"), F.min("row").alias("row"), F.first("bands").alias("bands"), F.first("prefix").alias("prefix"))
-    distinct = written(firsts, "distinct")
+    firsts = own.filter("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("first"), F.min("row").alias("row"), F.first("bands").alias("bands"), F.first("low").alias("low"))
+    # numbers of the different sets; the written table fixes them
+    distinct = written(firsts.withColumn("id", F.monotonically_increasing_id()), "distinct")
+    docs = written(own.select("doc_id", "n", "node"), "documents")
+    removed(own)
 
-    shard_lists, _ = shards(distinct.select(F.explode(F.array_distinct("bands")).alias("key"), "node"), most)
+    shard_lists, _ = shards(distinct.select(F.explode(F.array_distinct("bands")).alias("key"), F.col("id").alias("node")), most)
     shard_lists = written(shard_lists, "shards")
-    common = told(counted(distinct.select(F.explode("prefix").alias("gram"))))
-    late = written(marked(distinct, common), "late")
-    wanted = shard_lists.select(F.explode("members").alias("node")).union(late).distinct()
-    sets = written(sets_of(documents, distinct.join(wanted, "node", "left_semi"), k), "sets")
-    links = written(whole_links(shard_lists, sets, num, den), "whole")
-    found = written(components(links), "components")
-
-    affected = sets.join(late, "node", "left_semi")
-    common = np.union1d(common, told(counted(affected.select(F.explode("grams").alias("gram")))))
-    again = late_prefixes(affected, common, num, den)
-    prefixes = distinct.join(late, "node", "left_anti").select("node", "prefix").union(again)
-    prefixes = prefixes.join(found, "node", "left").join(distinct.select("node", "n"), "node")
-    prefixes = written(prefixes.select("node", "n", F.coalesce("root", "node").alias("root"), "prefix"), "prefixes")
+    common = told(distinct.select(F.explode("low").alias("gram")))
+    short = written(prefixes_of(distinct, common, num, den).filter("prefix is null").select("id"), "short")
+    wanted = shard_lists.select(F.explode("members").alias("id")).union(short).distinct()
+    sets = written(sets_of(documents, distinct.join(wanted, "id", "left_semi"), k), "sets")
+    found = written(components(written(whole_links(shard_lists, sets, num, den), "whole")), "components")
+
+    common = np.union1d(common, told(sets.join(short, "id", "left_semi").select(F.explode("grams").alias("gram"))))
+    told_by_low = written(prefixes_of(distinct, common, num, den), "prefixes")
+    short = told_by_low.filter("prefix is null").select("id")
+    late = sets
+    if not (more := written(short.join(sets, "id", "left_anti"), "short")).isEmpty():
+        late = sets.union(written(sets_of(documents, distinct.join(more, "id", "left_semi"), k), "sets"))
+    late = late.join(short, "id", "left_semi").select("id", F.size("grams").cast("bigint").alias("n"), F.col("grams").alias("low"))
+    prefixes = told_by_low.filter("prefix is not null").union(prefixes_of(late, common, num, den))
+    roots = found.select(F.col("node").alias("id"), "root")
+    prefixes = written(prefixes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
+    removed(told_by_low)
     removed(sets)
-    pairs = written(open_pairs(written(shared_lists(prefixes, most), "lists"), prefixes, num, den).distinct(), "open")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = written(sets_of(documents, distinct.join(nodes, "node", "left_semi"), k), "sets")
-    more = compared(pairs, sets, num, den)
-
-    found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
-    rooted = distinct.select("node", "first").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = written(shared_lists(prefixes, most), "lists")
+    pairs = written(open_pairs(members, prefixes, num, den).distinct(), "open")
+    removed(prefixes)
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = written(sets_of(documents, distinct.join(nodes, "id", "left_semi"), k), "sets")
+    links = found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(compared(pairs, sets, num, den))
+
+    found = components(links)
+    rooted = distinct.select("id", "node", "first").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     labels = written(rooted.join(least, "root").select("node", "component_id"), "labels")
-    return own.select("doc_id", "n", "node").join(labels, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    removed(sets)
+    removed(distinct)
+    return docs.join(labels, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -63,7 +63,7 @@ def near_texts(seed=5):
 def test_join_against_all_pairs(spark, monkeypatch, common, most):
     monkeypatch.setattr(ngram_join, "COMMON", common)
     rows = [(i * 7 % 10007, t) for i, t in enumerate(near_texts())] + [(None, "alone in the whole table of texts"), (None, "one"), (3, "three words only"), (3, "three words only")]
-    names = ["row", "node", "n", "gram", "root", "first", "bands", "prefix", "n_shingles", "component_id"]
+    names = ["row", "node", "n", "id", "root", "first", "bands", "low", "n_shingles", "component_id"]
     docs = spark.createDataFrame([(*r, *["x"] * len(names)) for r in rows], "doc_id bigint, text string, " + ", ".join(f"{n} string" for n in names)).repartition(5)
     got = ngram_join.link_documents(docs, most=most)
     assert got.columns == ["doc_id", "n_shingles", "component_id"]
@@ -115,7 +115,9 @@ def test_tree_against_all_pairs(seed):
     assert [links.root(i) for i in range(60)] == [joined.root(i) for i in range(60)]
     # of prefixes: no similar pair that shares an element there is lost
     lengths = [ngram_join.prefix_length(len(s), 85, 100) for s in sets]
-    known = [Member(i, len(s), s[:p], s[p - 1] + 1) for i, (s, p) in enumerate(zip(sets, lengths))]
+    parts = [ngram_join.packed(np.array(s[: p + 1], np.uint64) << np.uint64(39)) for s, p in zip(sets, lengths)]
+    known = [Member(i, len(s), *ngram_join.known_part(x, len(s))) for i, (s, x) in enumerate(zip(sets, parts))]
+    assert all(m.known == s[:p] for m, s, p in zip(known, sets, lengths))
     open_ = {(max(x), min(x)) for x in candidates(known, list(range(60)), 85, 100)}
     assert near <= open_ and all(set(sets[i][: lengths[i]]) & set(sets[j][: lengths[j]]) for i, j in near)
     apart = candidates(known, [0] * 60, 85, 100)
