@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .clusters import WordHashes, band_keys, set_hashes, shards
+from .clusters import BANDS, MIX, ROWS, WordHashes, set_hashes, shards
 from .common import removed, slices, written
 from .graph import components
 from .prefix_tree import Member, candidates, similar
@@ -65,6 +65,19 @@ def extended(n: int, num: int, den: int) -> int:
     return p + p // 8 + 4
 
 
+def band_keys(own: np.ndarray) -> np.ndarray:
+    """MinHash bands of a set by one permutation: of each residue's n-grams, the three lowest (of the set's lowest 128)."""
+    low = own[:128]
+    of = (low % np.uint64(BANDS)).astype(np.int64)
+    order, counts = np.argsort(of, kind="stable"), np.bincount(of, minlength=BANDS)
+    starts, keys = np.cumsum(counts) - counts, np.arange(BANDS, dtype=np.uint64)
+    for j in range(ROWS):
+        at = np.minimum(starts + np.minimum(j, np.maximum(counts, 1) - 1), len(low) - 1)
+        keys = (keys ^ low[order[at]]) * MIX
+        keys ^= keys >> np.uint64(32)
+    return keys[counts > 0].view(np.int64)
+
+
 def sketches(documents: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """``doc_id, row, n, node, bands, low``: node identifies the set (null if empty); low are its lowest n-grams (see ``extended``)."""
     schema = pa.schema([("doc_id", pa.int64()), ("row", pa.binary()), ("n", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64())), ("low", pa.list_(pa.int64()))])
@@ -73,9 +86,7 @@ def sketches(documents: DataFrame, k: int, num: int, den: int) -> DataFrame:
         known = WordHashes()
         for b in slices(batches):
             sets = [grams(t, k, known) for t in b.column(2).to_pylist()]
-            full = [s << np.uint64(2) for s in sets if len(s)]
-            keys = iter(band_keys(full)) if full else iter(())
-            bands = [next(keys) if len(s) else np.zeros(0, np.int64) for s in sets]
+            bands = [band_keys(s) if len(s) else np.zeros(0, np.int64) for s in sets]
             low = [s[: extended(len(s), num, den)] for s in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(digest, sets), pa.binary()), lists(bands), lists(low)], schema=schema)
 
@@ -144,39 +155,58 @@ def told(rows: DataFrame) -> np.ndarray:
 
 def packed(order: np.ndarray) -> bytes:
     """The upper 24 bits of order keys, byte by byte of them (rising numbers, so that the first bytes compress well)."""
-    upper = (order >> np.uint64(39)).astype(np.uint32)
-    return b"".join((upper >> np.uint32(shift) & np.uint32(255)).astype(np.uint8).tobytes() for shift in (16, 8, 0))
+    return (order >> np.uint64(39)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, 2::-1].T.tobytes()
 
 
 def known_part(own: bytes, n: int) -> tuple[list[int], float]:
     """Numbers that stand for the n-grams of a prefix, and a limit below which they are all of the set's. Different n-grams with one number only make sets look more alike."""
-    planes = np.frombuffer(own, np.uint8).reshape(3, -1).astype(np.int64)
-    upper = planes[0] << 16 | planes[1] << 8 | planes[2]
-    if n <= len(upper):
-        return np.unique(upper).tolist(), inf
-    return np.unique(upper[upper < upper[-1]]).tolist(), int(upper[-1])
+    planes = np.frombuffer(own, np.uint8).reshape(3, -1)
+    upper = (planes[0].astype(np.int32) << 16) | (planes[1].astype(np.int32) << 8) | planes[2]
+    numbers = upper[np.flatnonzero(np.diff(upper, prepend=-1))].tolist()
+    return (numbers, inf) if n <= len(upper) else (numbers[:-1], numbers[-1])
+
+
+def late_marks(low: pa.ListArray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n-grams of a column of lists in one row, which of them are common, and where each list starts (and the last ends)."""
+    flat, starts = low.flatten().to_numpy(), low.offsets.to_numpy()
+    if not len(common):
+        return flat, np.zeros(len(flat), bool), starts - starts[0]
+    return flat, common[np.minimum(np.searchsorted(common, flat), len(common) - 1)] == flat, starts - starts[0]
+
+
+def short_of(rows: DataFrame, common: np.ndarray, num: int, den: int) -> DataFrame:
+    """``id`` of ``rows(id, n, low)`` whose low n-grams do not tell the prefix, with the common ones last."""
+    shared = rows.sparkSession.sparkContext.broadcast(common)
+    schema = pa.schema([("id", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.column(1).to_numpy()
+            _, late, starts = late_marks(b.column(2), shared.value)
+            sums = np.concatenate([[0], np.cumsum(~late)])
+            short = (np.diff(starts) < n) & (sums[starts[1:]] - sums[starts[:-1]] < n + num * n // -den + 2)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(short))], schema=schema)
+
+    return rows.select("id", "n", "low").mapInArrow(run, "id bigint")
 
 
 def prefixes_of(rows: DataFrame, common: np.ndarray, num: int, den: int) -> DataFrame:
-    """``id, n, prefix, packed`` of ``rows(id, n, low)`` with the common n-grams last in the order; prefix is null where the low ones do not tell it."""
+    """``id, n, prefix, packed`` of ``rows(id, n, low)``, none of them short, with the common n-grams last in the order."""
     shared = rows.sparkSession.sparkContext.broadcast(common)
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("packed", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out, keep = [], []
-            for n, x in zip(b.column(1).to_pylist(), b.column(2)):
-                own, p = x.values.to_numpy(), prefix_length(n, num, den)
-                late = np.isin(own, shared.value)
-                rest = own[~late].view(np.uint64)
-                if len(own) == n:
-                    rest = np.concatenate([rest, own[late].view(np.uint64) | LATE])
-                known = len(rest) >= min(n, p + 1)
-                out.append(rest[:p] if known else rest[:0])
-                keep.append(packed(rest[: p + 1]) if known else None)
-            valid = pa.array([x is not None for x in keep], pa.bool_())
-            prefix = pa.compute.if_else(valid, lists(out), pa.nulls(len(out), schema.field(2).type))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), prefix, pa.array(keep, pa.binary())], schema=schema)
+            flat, late, starts = late_marks(b.column(2), shared.value)
+            order, out, own = np.where(late, flat.view(np.uint64) | LATE, flat.view(np.uint64)), [], []
+            moved = np.add.reduceat(np.append(late, False), starts[:-1]) if len(starts) > 1 else []
+            for n, a, z, some in zip(b.column(1).to_pylist(), starts.tolist(), starts[1:].tolist(), moved):
+                p, x = prefix_length(n, num, den), order[a:z]
+                if some:
+                    x = np.concatenate([x[~late[a:z]], x[late[a:z]]])
+                out.append(x[:p])
+                own.append(packed(x[: p + 1]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists(out), pa.array(own, pa.binary())], schema=schema)
 
     return rows.select("id", "n", "low").mapInArrow(run, "id bigint, n bigint, prefix array<bigint>, packed binary")
 
@@ -244,22 +274,20 @@ def link_documents(documents: DataFrame, k: int = 4, num: int = 85, den: int = 1
     shard_lists, _ = shards(distinct.select(F.explode(F.array_distinct("bands")).alias("key"), F.col("id").alias("node")), most)
     shard_lists = written(shard_lists, "shards")
     common = told(distinct.select(F.explode("low").alias("gram")))
-    short = written(prefixes_of(distinct, common, num, den).filter("prefix is null").select("id"), "short")
+    short = written(short_of(distinct, common, num, den), "short")
     wanted = shard_lists.select(F.explode("members").alias("id")).union(short).distinct()
     sets = written(sets_of(documents, distinct.join(wanted, "id", "left_semi"), k), "sets")
     found = written(components(written(whole_links(shard_lists, sets, num, den), "whole")), "components")
 
     common = np.union1d(common, told(sets.join(short, "id", "left_semi").select(F.explode("grams").alias("gram"))))
-    told_by_low = written(prefixes_of(distinct, common, num, den), "prefixes")
-    short = told_by_low.filter("prefix is null").select("id")
+    short = written(short_of(distinct, common, num, den), "short")
     late = sets
-    if not (more := written(short.join(sets, "id", "left_anti"), "short")).isEmpty():
+    if not (more := written(short.join(sets, "id", "left_anti"), "more")).isEmpty():
         late = sets.union(written(sets_of(documents, distinct.join(more, "id", "left_semi"), k), "sets"))
     late = late.join(short, "id", "left_semi").select("id", F.size("grams").cast("bigint").alias("n"), F.col("grams").alias("low"))
-    prefixes = told_by_low.filter("prefix is not null").union(prefixes_of(late, common, num, den))
+    prefixes = prefixes_of(distinct.join(short, "id", "left_anti").select("id", "n", "low").union(late), common, num, den)
     roots = found.select(F.col("node").alias("id"), "root")
     prefixes = written(prefixes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
-    removed(told_by_low)
     removed(sets)
     members = written(shared_lists(prefixes, most), "lists")
     pairs = written(open_pairs(members, prefixes, num, den).distinct(), "open")

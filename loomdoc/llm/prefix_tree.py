@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from math import inf
 
 from .clusters import Joined
 
-#: Elements of a node at most; long runs are chains, so that a search stops soon.
+#: Elements of a run that are compared at once, between two looks at the bound.
 RUN = 16
 
 
@@ -21,10 +21,10 @@ class Member:
 
 
 class Node:
-    __slots__ = ("run", "own", "below", "ends", "least", "most", "same")
+    __slots__ = ("run", "below", "ends", "least", "most", "same")
 
     def __init__(self, run: list) -> None:
-        self.run, self.own = run, frozenset(run)
+        self.run = run
         self.below: dict = {}
         self.ends: list[int] = []
         #: sizes of the sets below, and a member that all below are joined with (-1: none)
@@ -40,20 +40,16 @@ class PrefixTree:
         self.root = Node([])
         self.visited = 0
 
-    def enough(self, overlap: int, a: int, b: int) -> bool:
-        return (self.num + self.den) * overlap >= self.num * (a + b)
-
     def add(self, i: int) -> None:
         known, node, at, root = self.members[i].known, self.root, 0, self.joined.root(i)
         self._pass(node, i, root)
         while at < len(known):
             child = node.below.get(known[at])
             if child is None:
-                while at < len(known):
-                    new = Node(known[at : at + RUN])
-                    node.below[known[at]] = new
-                    node, at = new, at + RUN
-                    self._pass(node, i, root)
+                new = Node(known[at:])
+                node.below[known[at]] = new
+                node = new
+                self._pass(node, i, root)
                 break
             run, n = child.run, 1
             while n < len(run) and at + n < len(known) and run[n] == known[at + n]:
@@ -61,7 +57,7 @@ class PrefixTree:
             if n < len(run):
                 upper = Node(run[:n])
                 upper.least, upper.most, upper.same = child.least, child.most, child.same
-                child.run, child.own = run[n:], frozenset(run[n:])
+                child.run = run[n:]
                 upper.below[run[n]] = child
                 node.below[run[0]] = child = upper
             node, at = child, at + n
@@ -78,29 +74,32 @@ class PrefixTree:
 
     def near(self, q: Member, own: int):
         """Members not joined with member ``own`` (whose set is ``q``), with the overlap of what both know, that may be (or, with whole sets, are) similar."""
-        known, limit, size, root = q.known, q.limit, q.size, self.joined.root
+        known, mine, limit, size, root = q.known, q.own, q.limit, q.size, self.joined.root
+        num, both = self.num, self.num + self.den
         todo = [(self.root, 0, 0)]
         while todo:
             node, overlap, depth = todo.pop()
             if node.same >= 0 and root(node.same) == root(own):
                 continue
-            self.visited += 1
-            if node.run:
-                overlap += len(q.own & node.own)
-                if node.run[-1] < limit:
-                    depth += len(node.run)
-                    rest = size - bisect_left(known, node.run[-1] + 1)
-                else:
-                    depth += bisect_left(node.run, limit)
-                    rest = size - len(known)
-                if not self.enough(overlap + min(rest, node.most - depth), size, node.least):
-                    continue
+            run, fits = node.run, True
+            for start in range(0, len(run), RUN):
+                self.visited += 1
+                part = run[start : start + RUN]
+                overlap += len(mine.intersection(part))
+                ended = part[-1] >= limit
+                depth += bisect_left(part, limit) if ended else len(part)
+                rest = size - (len(known) if ended else bisect_right(known, part[-1]))
+                fits = both * (overlap + min(rest, node.most - depth)) >= num * (size + node.least)
+                if ended or not fits:
+                    break
+            if not fits:
+                continue
             for j in node.ends:
                 if root(j) != root(own):
                     other = self.members[j]
                     ends = min(limit, other.limit)
                     left = min(size - bisect_left(known, ends), other.size - (depth if other.limit <= limit else bisect_left(other.known, ends)))
-                    if self.enough(overlap + left, size, other.size):
+                    if both * (overlap + left) >= num * (size + other.size):
                         yield j, overlap
             todo += [(below, overlap, depth) for below in node.below.values()]
 
