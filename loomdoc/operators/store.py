@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stages import saved
+
 
 def new_rows(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``new`` whose keys are not in ``old``; rows with a null key are always new."""
@@ -52,14 +54,20 @@ def without_blank(rows: DataFrame, column: str) -> DataFrame:
     return rows.withColumn(column, F.when(F.trim(column) != "", F.col(column)))
 
 
-def positions(rows: DataFrame, order: str, name: str = "number", width: int = 100_000) -> DataFrame:
-    """Rows numbered from 1 by the whole number ``order``: within ranges of ``width`` values, and the rows of the ranges before added. No task sees
-    all rows; one sees a row a range."""
-    ranged = rows.withColumn("_range", F.floor(F.col(order) / width))
-    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).drop("_n")
-    inner = F.row_number().over(Window.partitionBy("_range").orderBy(order))
-    return ranged.withColumn("_inner", inner).join(offsets, "_range").withColumn(name, F.col("_before") + F.col("_inner")).drop("_range", "_inner", "_before")
+def positions(rows: DataFrame, order: str, name: str = "number", partitions: int | None = None) -> DataFrame:
+    """Rows numbered from 1 by ``order`` (nulls first; equal values in any order), however dense its values are.
+
+    Spark deals the rows into ranges (bounds from its sample) and sorts each; the written table keeps the range and the place in it. A count a range gives the offsets,
+    as many rows as ranges, which are broadcast. No task sees more than a range."""
+    parts = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the low 33 bits number the rows of a partition, in their order
+    place = F.monotonically_increasing_id()
+    dealt = saved(rows.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn("_place", place), "ranges")
+    ranged = dealt.withColumn("_range", F.shiftright("_place", 33))
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1))
+    # at most ``parts`` rows
+    offsets = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("_one").orderBy("_range")) - F.col("_n")).select("_range", "_before")
+    return ranged.join(F.broadcast(offsets), "_range").withColumn(name, F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_range", "_place", "_before")
 
 
 def numbered(rows: DataFrame, group: str, order: str, start: int, name: str = "chunk_index") -> DataFrame:

@@ -69,7 +69,7 @@ def w05_filled(spark, sf_dir):
 @query("w08_numbers", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS number FROM orders WHERE o_orderkey % 3 <> 1")
 def w08_numbers(spark, sf_dir):
     """Rows of a whole table numbered from 1; no task sees all of them."""
-    return S.positions(read(spark, sf_dir, "orders").filter("o_orderkey % 3 != 1").select("o_orderkey"), "o_orderkey", width=1000)
+    return S.positions(read(spark, sf_dir, "orders").filter("o_orderkey % 3 != 1").select("o_orderkey"), "o_orderkey")
 
 
 @query("s17_tables", r"""WITH r AS (SELECT n_regionkey AS k, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i, trim(n_name) AS a, CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE 'x' || n_nationkey END AS b FROM nation),

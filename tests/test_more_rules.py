@@ -8,6 +8,7 @@ import sys
 from difflib import SequenceMatcher
 from pathlib import Path
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -66,18 +67,20 @@ def test_leaders_of_near_questions(spark, newer_first):
     assert got == want and len(want) > 20
 
 
-@given(st.text("abcd", max_size=60), st.text("abcd", max_size=60))
+@given(st.text("abcd", min_size=1, max_size=150), st.text("abcd", min_size=1, max_size=150))
 @settings(max_examples=200, deadline=None)
 def test_common_length(a, b):
-    masks = {}
-    for i, c in enumerate(a):
-        masks[c] = masks.get(c, 0) | 1 << i
     row = [0] * (len(b) + 1)
     for x in a:
         before = 0
         for j, y in enumerate(b, 1):
             row[j], before = (before + 1 if x == y else max(row[j], row[j - 1])), row[j]
-    assert similarity.common_length(masks, len(a), b) == row[-1]
+    found = similarity.common_lengths(["x" * 100, a, "b"], [b, "a"], np.array([[1, 0], [0, 0], [2, 1]]))
+    assert found.tolist() == [row[-1], 0, 0]
+    # what two texts share in characters bounds it, so no pair is lost
+    counts = similarity.folded_counts([a, b])
+    assert np.minimum(*counts).sum() >= row[-1]
+    assert [0, 0] in similarity.may_reach(counts[:1], counts[1:], 2 * row[-1] / (len(a) + len(b))).tolist()
     assert 2 * row[-1] >= sum(m.size for m in SequenceMatcher(None, a, b).get_matching_blocks()) * 2
 
 
