@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .text import strip
 
 # A block of a table of contents, and the title of an article of a statute.
-CONTENTS_BLOCK = r"[·]{3,}|(?:\.{4,})\s*\p{Nd}+\s*$|[가-힣?)\]】』]\p{Nd}{1,3}\s*$"
+CONTENTS_BLOCK = r"(?U)[·]{3,}|(?:\.{4,})\s*\p{Nd}+\s*$|[가-힣?)\]】』]\p{Nd}{1,3}\s*$"
 ARTICLE_TITLE = r"^(제\p{Nd}+조(?:의\p{Nd}+)?(?:\([^)]{1,30}\))?)"
 # What opens a block that was cut inside brackets, or inside a Korean word, and the end of the block before.
 BRACKET_GOES_ON = r"^(\([A-Za-z]|[A-Z][a-z]+\))"

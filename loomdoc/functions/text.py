@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # The code points of a word in the normal form used for hashing.
 NOT_WORD = r"[^\p{L}\p{N}_]"
+# Notes in stars by their first letter, and rules of tables.
+NOTE, TABLE_RULE = r"\*[닫열변삭기시구기터이][^*]*\*", r"(?Umd)^\|[-\s|]+\|$"
 # Colophon keywords.
 COLOPHON = ["발행일", "발행처", "발행인", "편집", "인쇄", "ISBN"]
 
@@ -31,8 +33,8 @@ def bound(value: Column, use) -> Column:
 
 def is_contents_legacy(text: Column) -> Column:
     """Table-of-contents chunk by its dots: many leaders, or most lines with leaders and a final digit."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-    dotted = lambda x: ((occurrences(x, "·") > 5) | (occurrences(x, ".") > 5)) & F.rlike(F.regexp_replace(x, r"\s+$", ""), F.lit(r"[0-9]$"))
+    lines = F.filter(F.split(text, "\n"), lambda x: strip(x) != "")
+    dotted = lambda x: ((occurrences(x, "·") > 5) | (occurrences(x, ".") > 5)) & F.rlike(F.regexp_replace(x, r"(?U)\s+$", ""), F.lit(r"[0-9]$"))
     most = bound(lines, lambda own: (F.size(own) > 0) & (F.size(F.filter(own, dotted)) > 0.5 * F.size(own)))
     return (occurrences(text, "·") > 20) | (occurrences(text, ".") > 50) | most
 
@@ -41,14 +43,14 @@ def is_contents(text: Column) -> Column:
     """Table-of-contents chunk in five layers; lines with table bars only by leader runs and keyword."""
     n, table = F.length(text), occurrences(text, "|") >= 4
     dots = occurrences(text, "·")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
+    lines = F.filter(F.split(text, "\n"), lambda x: strip(x) != "")
     led = lambda x: ((occurrences(x, "·") > 3) | (occurrences(x, ".") > 5)) & F.rlike(F.substring(x, -5, 5), F.lit(r"[0-9]"))
     by_lines = bound(lines, lambda own: (F.size(own) > 0) & (F.size(F.filter(own, led)) >= 0.6 * F.size(own)))
     numbers = F.regexp_count(text, F.lit(r"\b[0-9]+\.[0-9]+"))
     words = F.greatest(F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")), F.lit(1))
     sentences = F.regexp_count(text, F.lit(r"다\."))
     many = bound(numbers, lambda n: (n >= 8) & (n / words >= 0.05) & (sentences <= 2))
-    keyword = F.rlike(text, F.lit(r"목\s*차")) & (numbers >= 5)
+    keyword = F.rlike(text, F.lit(r"(?U)목\s*차")) & (numbers >= 5)
     dotty = bound(dots, lambda d: (d > 10) & (d > 0.05 * n))
     return F.when(n < 20, False).otherwise((~table & dotty) | F.rlike(text, F.lit("·{4,}")) | (~table & by_lines) | keyword | (~table & many))
 
@@ -64,7 +66,7 @@ def is_colophon(text: Column) -> Column:
 def is_symbol_noise(text: Column) -> Column:
     """Hardly any letter or digit in a text of ten characters or more."""
     few = lambda b: F.when(F.length(b) == 0, True).otherwise((F.length(b) >= 15) & (F.regexp_count(b, F.lit(r"[0-9A-Za-z가-힣]")) / F.length(b) < 0.15))
-    return F.when(F.length(text) < 10, False).otherwise(bound(F.regexp_replace(text, r"[\s|]", ""), few))
+    return F.when(F.length(text) < 10, False).otherwise(bound(F.regexp_replace(text, r"(?U)[\s|]", ""), few))
 
 
 def chunk_type(text: Column) -> Column:
@@ -84,11 +86,11 @@ def strip(text: Column) -> Column:
 
 
 def clean_markup(text: Column) -> Column:
-    """Markdown without links, table rules and blank lines; each line stripped."""
-    out = F.regexp_replace(text, r"\[([^\]]*)\]\([^)]*\)", "$1")
-    out = F.replace(out, F.lit("\\n"), F.lit("\n"))
-    lines = F.filter(F.transform(F.split(out, "\n"), strip), lambda x: (x != "") & ~F.rlike(x, F.lit(r"^[|\-: ]+$")))
-    return F.array_join(lines, "\n")
+    """Markdown without starred notes of an editor, table rules, links and blank lines; each line stripped."""
+    out = F.regexp_replace(F.regexp_replace(text, NOTE, ""), TABLE_RULE, "")
+    out = F.regexp_replace(out, r"\[([^\]]+)\]\([^)]+\)", "$1")
+    out = F.replace(F.replace(out, F.lit("\\\\n"), F.lit("\n")), F.lit("\\n"), F.lit("\n"))
+    return F.array_join(F.filter(F.transform(F.split(out, "\n"), strip), lambda x: x != ""), "\n")
 
 
 def score_in(text: Column) -> Column:
@@ -151,14 +153,17 @@ def join_lines(text: Column) -> Column:
     """Lines joined with a space, unless the text so far ends a sentence or the line opens a list item, table row, heading or number;
     blank lines stay."""
     lines = F.transform(F.split(text, "\n", -1), strip)
-    start = F.array().cast("array<string>")
 
-    def step(out: Column, line: Column) -> Column:
-        last = F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit(""))
-        goes_on = (line != "") & (last != "") & ~F.rlike(last, F.lit(r"[.!?。]$")) & ~F.rlike(line, F.lit(r"^[-•|\[#\p{Nd}]"))
-        return F.when(goes_on, F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.concat(last, F.lit(" "), line)))).otherwise(F.concat(out, F.array(line)))
+    def joined(own: Column) -> Column:
+        # what is before a line ends as the line before it does, so neighbours tell
+        def placed(line: Column, i: Column) -> Column:
+            last = F.get(own, i - 1)
+            goes_on = (line != "") & (last != "") & ~F.rlike(last, F.lit(r"[.!?。]$")) & ~F.rlike(line, F.lit(r"^[-•|\[#\p{Nd}]"))
+            return F.concat(F.when(i == 0, "").when(goes_on, " ").otherwise("\n"), line)
+
+        return F.array_join(F.transform(own, placed), "")
 
-    return F.array_join(F.aggregate(lines, start, step), "\n")
+    return bound(lines, joined)
 
 
 def normalised(text: Column) -> Column:

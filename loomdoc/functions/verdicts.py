@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bound, strip
+
 QA_LIST = "array<struct<q:string,a:string,intent:string>>"
 
 
@@ -13,17 +15,35 @@ def without_fences(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.trim(text), r"^```[A-Za-z]*\s*", ""), r"\s*```$", "")
 
 
+def unfenced(text: Column) -> Column:
+    """An answer without any code fences."""
+    return strip(F.regexp_replace(text, "```(?:json)?", ""))
+
+
+def _point(parsed: Column, key: str, missing: float) -> Column:
+    """Whole number of a key (of a number, a truth value or a text that is a whole number), held in 0 to 10; ``missing`` where there is none, null where it is something else."""
+    own = F.try_variant_get(parsed, f"$.{key}", "variant")
+    kind, text = F.schema_of_variant(own), strip(F.try_variant_get(parsed, f"$.{key}", "string"))
+    number = F.when(F.rlike(kind, F.lit("^(BIGINT|DECIMAL|DOUBLE)")), F.try_variant_get(parsed, f"$.{key}", "double")).when(kind == "BOOLEAN", F.try_variant_get(parsed, f"$.{key}", "boolean").cast("double"))
+    number = number.when((kind == "STRING") & F.rlike(text, F.lit(r"^[+-]?\p{Nd}+$")), text.cast("double"))
+    return F.when(own.isNull(), missing).otherwise(F.greatest(F.least(F.floor(number).cast("double"), F.lit(10.0)), F.lit(0.0)))
+
+
 def _number(parsed: Column, key: str, missing: float) -> Column:
     return F.coalesce(F.try_variant_get(parsed, f"$.{key}", "double"), F.lit(missing))
 
 
 def triad(text: Column) -> Column:
     """Struct of relevance, groundedness and context_relevance, 0 to 1: whole points of ten, 6 where one is missing; 0.65 each if the
-    answer is not a JSON object."""
-    parsed = F.try_parse_json(without_fences(text))
-    ok = F.schema_of_variant(parsed).startswith("OBJECT")
-    point = lambda k: F.when(ok, F.greatest(F.least(F.floor(_number(parsed, k, 6.0)).cast("double"), F.lit(10.0)), F.lit(0.0)) / 10).otherwise(0.65)
-    return F.struct(*[F.coalesce(point(k), F.lit(0.65)).alias(k) for k in ("relevance", "groundedness", "context_relevance")])
+    answer is not a JSON object, or any of them is no number."""
+    keys = ("relevance", "groundedness", "context_relevance")
+
+    def points(parsed: Column) -> Column:
+        own = [_point(parsed, k, 6.0) for k in keys]
+        ok = F.schema_of_variant(parsed).startswith("OBJECT") & own[0].isNotNull() & own[1].isNotNull() & own[2].isNotNull()
+        return F.struct(*[F.coalesce(F.when(ok, x / 10), F.lit(0.65)).alias(k) for k, x in zip(keys, own)])
+
+    return bound(F.try_parse_json(unfenced(text)), points)
 
 
 def completeness(text: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from .stages import saved
 
 
@@ -51,7 +52,7 @@ def by_key(rows: DataFrame, key: str, value) -> DataFrame:
 
 def without_blank(rows: DataFrame, column: str) -> DataFrame:
     """Blank values of a column as null; others stay as they are."""
-    return rows.withColumn(column, F.when(F.trim(column) != "", F.col(column)))
+    return rows.withColumn(column, F.when(T.strip(F.col(column)) != "", F.col(column)))
 
 
 def positions(rows: DataFrame, order: str, name: str = "number", partitions: int | None = None) -> DataFrame:

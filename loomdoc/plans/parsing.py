@@ -20,7 +20,7 @@ def marked_chunks(spark, sf_dir):
     m, c = (F.col("document_id") + F.col("chunk_index")) % 12, F.col("content")
     put = lambda a, b="": F.concat(F.lit(a), c, F.lit(b))
     text = (
-        F.when(m == 0, put("목 차 1.1 a 1.2 b 2.1 c 2.2 d 3.1 e 3.2 "))
+        F.when(m == 0, put("목　차 1.1 a 1.2 b 2.1 c 2.2 d 3.1 e 3.2 "))
         .when(m == 1, put("", " ···· 12"))
         .when(m == 2, put("발행일 2024 발행처 x "))
         .when(m == 3, F.lit("□■□■□■□■□■□■□■□■□■□■"))
@@ -36,7 +36,7 @@ def marked_chunks(spark, sf_dir):
     return chunks.select("id", "document_id", "filename", "chunk_index", m.alias("m"), text.alias("content"), heading.alias("heading"))
 
 
-MARKED = rf"""{CHUNKS}, marked AS (SELECT id, document_id, filename, chunk_index, m, CASE m WHEN 0 THEN '목 차 1.1 a 1.2 b 2.1 c 2.2 d 3.1 e 3.2 ' || content WHEN 1 THEN content || ' ···· 12'
+MARKED = rf"""{CHUNKS}, marked AS (SELECT id, document_id, filename, chunk_index, m, CASE m WHEN 0 THEN '목　차 1.1 a 1.2 b 2.1 c 2.2 d 3.1 e 3.2 ' || content WHEN 1 THEN content || ' ···· 12'
   WHEN 2 THEN '발행일 2024 발행처 x ' || content WHEN 3 THEN '□■□■□■□■□■□■□■□■□■□■' WHEN 4 THEN '12' || chr(10) || content || chr(10) || '{HEADER}' || chr(10) || ' 7 ' WHEN 5 THEN '{SAME}'
   WHEN 6 THEN '  | a | --- | b | ' || content WHEN 7 THEN '제3조(목적)' || chr(10) || content WHEN 8 THEN content || ' 또한' WHEN 9 THEN substr(content, 1, 50) ELSE content END AS content,
   CASE m WHEN 7 THEN '제3조(목적)' WHEN 6 THEN '제12조의2(정의 등) 그 밖의' || chr(10) || '사항' ELSE '절  ' || filename END AS heading FROM (SELECT *, (document_id + chunk_index) % 12 AS m FROM doc_chunks))"""
@@ -50,11 +50,11 @@ def contents_sql(t: str) -> str:
     words = rf"greatest(len(list_filter(string_split_regex({t}, '\s+'), lambda w: w <> '')), 1)::DOUBLE"
     table = f"{count(t, '|')} >= 4"
     return rf"""CASE WHEN length({t}) < 20 THEN false ELSE (NOT {table} AND {count(t, '·')} > 10 AND {count(t, '·')} > 0.05e0 * length({t})) OR contains({t}, '····') OR (NOT {table} AND len({lines}) > 0 AND {led} >= 0.6e0 * len({lines}))
-  OR (regexp_matches({t}, '목\s*차') AND {numbers} >= 5) OR (NOT {table} AND {numbers} >= 8 AND {numbers} / {words} >= 0.05e0 AND len(regexp_extract_all({t}, '다\.')) <= 2) END"""
+  OR (regexp_matches({t}, '목[\s\x{{3000}}\x{{A0}}]*차') AND {numbers} >= 5) OR (NOT {table} AND {numbers} >= 8 AND {numbers} / {words} >= 0.05e0 AND len(regexp_extract_all({t}, '다\.')) <= 2) END"""
 
 
 def noise_sql(t: str) -> str:
-    base = rf"regexp_replace({t}, '[\s|]', '', 'g')"
+    base = rf"regexp_replace({t}, '[\s|\x{{A0}}\x{{3000}}]', '', 'g')"
     colophon = " + ".join(f"contains({t}, '{k}')::INT" for k in T.COLOPHON)
     return rf"""CASE WHEN {contents_sql(t)} THEN 'contents' WHEN {colophon} >= 2 THEN 'colophon' WHEN CASE WHEN length({t}) < 10 THEN false WHEN length({base}) = 0 THEN true
   ELSE length({base}) >= 15 AND len(regexp_extract_all({base}, '[0-9A-Za-z가-힣]')) / length({base})::DOUBLE < 0.15e0 END THEN 'symbols' END"""

@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..functions import verdicts as V
 from ..operators import blocks, evaluate, export, sampling
 from ..operators import store as S
+from ..operators.cells import patched
 from .adapters import CHUNKS, QA, doc_chunks, qa_pairs, read
 from .evaluation import scored
 from .registry import query
@@ -72,6 +73,21 @@ def w08_numbers(spark, sf_dir):
     return S.positions(read(spark, sf_dir, "orders").filter("o_orderkey % 3 != 1").select("o_orderkey"), "o_orderkey")
 
 
+@query("s17_patched_cells", """WITH w AS (SELECT l_suppkey AS page, l_orderkey, l_linenumber, l_partkey % 480 AS x0, l_orderkey * 7 % 580 AS y0, 'w' || l_partkey AS word, length('w' || l_partkey) AS n FROM lineitem),
+  c AS (SELECT s_suppkey AS page, r, c, c * 125 AS x0, r * 100 AS y0, c * 125 + 120 AS x1, r * 100 + 60 + s_suppkey % 40 AS y1, CASE WHEN (s_suppkey + r + c) % 3 = 0 THEN 'cell ' || r ELSE NULL END AS text
+    FROM supplier, range(6) a(r), range(4) b(c)),
+  f AS (SELECT c.page, r, c, string_agg(word, ' ' ORDER BY l_orderkey, l_linenumber, word) AS found FROM c JOIN w ON c.page = w.page AND c.text IS NULL AND w.x0 BETWEEN c.x0 - 2 AND c.x1 + 2 AND w.x0 + 6 * n BETWEEN c.x0 - 2 AND c.x1 + 2 AND w.y0 BETWEEN c.y0 - 2 AND c.y1 + 2 AND w.y0 + 10 BETWEEN c.y0 - 2 AND c.y1 + 2 GROUP BY ALL)
+  SELECT c.page, c.r::INT AS row, c.c::INT AS col, coalesce(text, found) AS text FROM c LEFT JOIN f ON c.page = f.page AND c.r = f.r AND c.c = f.c""")
+def s17_patched_cells(spark, sf_dir):
+    """Cells without a text of a table on each supplier's page, filled with the words whose boxes lie in them."""
+    words = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("page"), "l_orderkey", "l_linenumber", (F.col("l_partkey") % 480).alias("x0"), (F.col("l_orderkey") * 7 % 580).alias("y0"), F.concat(F.lit("w"), "l_partkey").alias("word"))
+    words = words.withColumn("x1", F.col("x0") + 6 * F.length("word")).withColumn("y1", F.col("y0") + 10)
+    cells = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("page"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("row")).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    text = F.when((F.col("page") + F.col("row") + F.col("col")) % 3 == 0, F.concat(F.lit("cell "), "row"))
+    cells = cells.select("page", "row", "col", (F.col("col") * 125).alias("x0"), (F.col("row") * 100).alias("y0"), (F.col("col") * 125 + 120).alias("x1"), (F.col("row") * 100 + 60 + F.col("page") % 40).alias("y1"), text.alias("text"))
+    return patched(cells, words, "page", ["row", "col"], ["l_orderkey", "l_linenumber"]).select("page", "row", "col", "text")
+
+
 @query("s17_tables", r"""WITH r AS (SELECT n_regionkey AS k, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i, trim(n_name) AS a, CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE 'x' || n_nationkey END AS b FROM nation),
   f AS (SELECT k, i, a, CASE WHEN b = '' AND i > 1 THEN coalesce(last_value(CASE WHEN i > 1 THEN nullif(b, '') END IGNORE NULLS) OVER (PARTITION BY k ORDER BY i ROWS UNBOUNDED PRECEDING), '') ELSE b END AS b FROM r)
   SELECT k::BIGINT AS n_regionkey, '[표]' || chr(10) || string_agg('| ' || a || ' | ' || b || ' |' || CASE WHEN i = 1 THEN chr(10) || '| --- | --- |' ELSE '' END, chr(10) ORDER BY i) AS text FROM f GROUP BY k""")
