@@ -233,14 +233,22 @@ def shared_lists(prefixes: DataFrame, most: int) -> DataFrame:
     return small.union(dealt.select("members")).distinct()
 
 
+def comparable(rows: list[tuple], num: int, den: int) -> list[tuple]:
+    """The rows ``(id, n, ...)``, by size, that have another of a size that allows the similarity: the smaller set is at least ``num / den`` of the larger."""
+    rows.sort(key=lambda x: (x[1], x[0]))
+    near = [den * a[1] >= num * b[1] for a, b in zip(rows, rows[1:])]
+    return [x for x, before, after in zip(rows, [False, *near], [*near, False]) if before or after]
+
+
 def open_pairs(members: DataFrame, prefixes: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs with different roots in a shard that may be similar, by their prefixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in by_shard(batches):
-            rows.sort(key=lambda x: x[0])
+            rows = comparable(rows, num, den)
             found = candidates([Member(id_, n, *known_part(own, n)) for id_, n, _, own in rows], [x[2] for x in rows], num, den)
-            yield pairs_of([(min(x), max(x)) for x in found])
+            if found:
+                yield pairs_of([(min(x), max(x)) for x in found])
 
     return in_shards(members, prefixes.select("id", "n", "root", "packed")).mapInArrow(run, "a bigint, b bigint")
 

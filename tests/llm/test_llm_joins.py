@@ -124,6 +124,12 @@ def test_tree_against_all_pairs(seed):
     assert apart == []
 
 
+def test_sizes_that_allow_the_similarity():
+    rows = [(k, n) for k, n in enumerate([100, 84, 50, 85, 43, 42, 7])]
+    assert [n for _, n in ngram_join.comparable(rows, 85, 100)] == [42, 43, 50, 84, 85, 100]
+    assert ngram_join.comparable([(1, 5)], 85, 100) == []
+
+
 def test_tree_leaves_unlike_subtrees():
     rng = random.Random(3)
     sets = [sorted(rng.sample(range(10**6), 400)) for _ in range(200)]
