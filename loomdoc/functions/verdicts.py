@@ -26,7 +26,8 @@ def _point(parsed: Column, key: str, missing: float) -> Column:
     kind, text = F.schema_of_variant(own), strip(F.try_variant_get(parsed, f"$.{key}", "string"))
     number = F.when(F.rlike(kind, F.lit("^(BIGINT|DECIMAL|DOUBLE)")), F.try_variant_get(parsed, f"$.{key}", "double")).when(kind == "BOOLEAN", F.try_variant_get(parsed, f"$.{key}", "boolean").cast("double"))
     number = number.when((kind == "STRING") & F.rlike(text, F.lit(r"^[+-]?\p{Nd}+$")), text.cast("double"))
-    return F.when(own.isNull(), missing).otherwise(F.greatest(F.least(F.floor(number).cast("double"), F.lit(10.0)), F.lit(0.0)))
+    # greatest and least pass over nulls
+    return F.when(own.isNull(), missing).when(number.isNotNull(), F.greatest(F.least(F.floor(number).cast("double"), F.lit(10.0)), F.lit(0.0)))
 
 
 def _number(parsed: Column, key: str, missing: float) -> Column:

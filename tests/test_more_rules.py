@@ -100,8 +100,8 @@ def test_numbers_of_rows(spark):
     rng = random.Random(3)
     ids = rng.sample(range(-5000, 5000), 300)
     rows = spark.createDataFrame([(i,) for i in ids], "i bigint").repartition(5)
-    for width in (7, 100, 10**6):
-        assert {r["i"]: r["number"] for r in store.positions(rows, "i", width=width).collect()} == {i: k for k, i in enumerate(sorted(ids), 1)}
+    for width in (1, 7, 20):
+        assert {r["i"]: r["number"] for r in store.positions(rows, "i", partitions=width).collect()} == {i: k for k, i in enumerate(sorted(ids), 1)}
 
 
 def slow_continued(items):
