@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vector as V
+from ..functions.callable import register
 from ..operators import blocks, sampling, vector_index
 from ..operators.stages import shared_folder
 from .adapters import CHUNKS, doc_chunks, read
@@ -134,6 +135,26 @@ def indexed(spark, sf_dir, probe):
     return found.select("query", "id", F.round("similarity", 5).alias("similarity"))
 
 
+@query("k01_match_function", """WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], (SELECT e FROM q)) AS s FROM embeddings)
+  SELECT id, round(s, 5) AS similarity FROM s WHERE s > 0.1e0 ORDER BY s DESC, id LIMIT 10""")
+def k01_match_function(spark, sf_dir):
+    """The nearest vectors of one, by the session's table function."""
+    read(spark, sf_dir, "embeddings").selectExpr("vec_id AS id", "cast(embedding AS array<double>) AS embedding").createOrReplaceTempView("vectors")
+    register(spark)
+    asked = spark.table("vectors").filter("id = 0 and embedding is not null").first()
+    wanted = asked["embedding"] if asked else None
+    return spark.sql("SELECT id, round(similarity, 5) AS similarity FROM match_vectors(:wanted, 0.1D, 10)", args={"wanted": F.array(*map(F.lit, wanted)) if wanted else F.lit(None).cast("array<double>")})
+
+
+@query("w01_stride_function", f"""WITH {CHUNKS}, v AS (SELECT arg_max(document_id, created_at * 1000000 + document_id) AS document_id FROM doc_chunks WHERE filename = 'src0'), c AS (SELECT c.* FROM doc_chunks c JOIN v USING (document_id) WHERE filename = 'src0'),
+  n AS (SELECT *, row_number() OVER (ORDER BY chunk_index) AS rn, greatest(count(*) OVER () // 3, 1) AS step FROM c) SELECT id, rn FROM n WHERE (rn - 1) % step = 0 AND (rn - 1) // step < 3""")
+def w01_stride_function(spark, sf_dir):
+    """Three chunks at even distances of the latest version of one file, by the session's table function."""
+    doc_chunks(spark, sf_dir).createOrReplaceTempView("doc_chunks")
+    register(spark)
+    return spark.sql("SELECT id, rn FROM stride_sample('src0', 3)")
+
+
 @query("k01_index_search")
 def k01_index_search(spark, sf_dir):
     """Approximate: of each query's 20 nearest cells. These vectors hardly form groups; recall at ten against the exact query is 0.93 to 0.94."""

@@ -112,3 +112,19 @@ def test_lines_are_joined_in_linear_time(spark):
 
     seconds(100)
     assert seconds(80_000) < 10 * max(seconds(8_000), 1.0)
+
+
+def test_functions_of_the_session(spark):
+    from loomdoc.functions.callable import register
+
+    chunks = [(f"c{d}_{i}", d, i, 100 + d // 2, "a" if d < 3 else "b") for d in range(5) for i in range(7)]
+    spark.createDataFrame(chunks, "id string, document_id int, chunk_index int, created_at int, filename string").createOrReplaceTempView("doc_chunks")
+    spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [0.0, 0.0]), (4, None), (5, [2.0, 0.0])], "id bigint, embedding array<double>").createOrReplaceTempView("vectors")
+    register(spark)
+    register(spark)
+    assert [tuple(r) for r in spark.sql("SELECT * FROM stride_sample('a', 3) ORDER BY rn").collect()] == [("c2_0", 1), ("c2_2", 3), ("c2_4", 5)]
+    assert spark.sql("SELECT * FROM stride_sample('none', 3)").count() == 0
+    assert [r["id"] for r in spark.sql("SELECT * FROM match_vectors(array(1D, 0D), 0.5D, 2) ORDER BY similarity DESC, id").collect()] == [1, 5]
+    assert spark.sql("SELECT * FROM match_vectors(null, 0.5D, 2)").count() == 0
+    assert [r[0] for r in spark.sql("SELECT hierarchy_path(x, '', 'c') FROM VALUES ('a'), (null) t(x)").collect()] == ["a > c", "c"]
+    assert spark.sql("SELECT hierarchy_path('', null, '')").first()[0] == "Uncategorized"
