@@ -95,7 +95,6 @@ def near_links(fingerprints: DataFrame, radius: int = 2, most: int = 512) -> Dat
         choice = F.create_map(*[x for m, subs in below.items() for x in (F.lit(signed(m)), F.array(*[F.lit(signed(s)) for s in subs]))])
         keyed = todo.select("fp", F.explode(F.element_at(choice, F.col("mask"))).alias("mask"))
         keyed = keyed.withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
-        masks = [s for subs in below.values() for s in subs]
         hot = written(keyed.groupBy("mask", "value").count().filter(F.col("count") > most).select("mask", "value"), "hot")
         more = not hot.isEmpty()
         cold = keyed.join(hot, ["mask", "value"], "left_anti") if more else keyed
@@ -103,7 +102,9 @@ def near_links(fingerprints: DataFrame, radius: int = 2, most: int = 512) -> Dat
         out.append(written(lists.select("members").mapInArrow(run, "a bigint, b bigint"), "near"))
         if not more:
             break
-        todo = written(keyed.join(hot, ["mask", "value"], "left_semi").select("fp", "mask"), "again")
+        # only masks with a shard to deal again go on
+        masks = sorted(r["mask"] & (2**64 - 1) for r in hot.select("mask").distinct().collect())
+        todo = written(keyed.join(hot, ["mask", "value"], "left_semi").select("fp", "mask").distinct(), "again")
     links = out[0]
     for x in out[1:]:
         links = links.union(x)

@@ -233,3 +233,15 @@ def test_fill_in_middle_against_its_definition(spark, monkeypatch, share):
     assert sorted(got, key=str) == sorted(want, key=str)
     assert {r[3] for r in got} == {"plain", "psm", "spm"}
     assert middle.fill_in_middle(docs.limit(0)).count() == 0
+
+
+def test_clustered_fingerprints_keep_the_plan_small(spark):
+    """All values of the ten lowest bits, in shards of 64 at most: only hot masks are dealt again."""
+    from loomdoc.llm import simhash
+
+    fps = spark.createDataFrame([(i,) for i in range(1024)], "fp bigint")
+    joined = Joined(1024)
+    for r in simhash.near_links(fps, 2, 64).collect():
+        assert (r["a"] ^ r["b"]) < 1024
+        joined.join(r["a"], r["b"])
+    assert {joined.root(i) for i in range(1024)} == {0}
