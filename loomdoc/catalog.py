@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from .plans import answers, chunks, evaluation, jobs, layers, parsing, store, tables  # noqa: F401  (they register their queries)
+from .plans import answers, chunks, evaluation, jobs, layers, parsing, store, stored, tables  # noqa: F401  (they register their queries)
 from .plans.registry import ORACLE_SQL, QUERIES  # noqa: F401

@@ -24,3 +24,10 @@ def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; null where a vector is zero."""
     n = norm(a) * norm(b)
     return F.when(n > 0, dot(a, b) / n)
+
+
+def paired(items: Column, vectors: Column) -> Column:
+    """Items with the vectors that came for them, normalised, as structs of item and vector; another number of vectors than of items is an error."""
+    both = F.zip_with(items, F.transform(vectors, normalised), lambda i, v: F.struct(i.alias("item"), v.alias("vector")))
+    message = F.concat(F.size(vectors).cast("string"), F.lit(" vectors for "), F.size(items).cast("string"), F.lit(" items"))
+    return F.when(F.size(items) == F.size(vectors), both).otherwise(F.raise_error(message))

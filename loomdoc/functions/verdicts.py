@@ -92,3 +92,8 @@ def workers(provider_name: Column, kind: str) -> Column:
 def chunking_tier_of_blocks(blocks: Column) -> Column:
     """Tier 1 to 4 of a Word document by its blocks (up to 60, 150, 300, more)."""
     return F.when(blocks <= 60, 1).when(blocks <= 150, 2).when(blocks <= 300, 3).otherwise(4)
+
+
+def output_cap(batch: Column) -> Column:
+    """Tokens that an answer about a batch may have, by its size (up to 30, 40, more)."""
+    return F.when(batch <= 30, 8192).when(batch <= 40, 12288).otherwise(16384)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import rules as R
+from . import evaluate
+
 
 def two_decimals(column: str):
     return F.when(F.col(column).isNotNull(), F.format_string("%.2f", F.col(column).cast("double")))
@@ -22,6 +25,16 @@ def statistics(items: DataFrame, scores: list[str]) -> DataFrame:
     return tall.groupBy("metric").agg(F.round(F.avg("v"), 3).alias("mean"), F.min("v").alias("lowest"), F.max("v").alias("highest"))
 
 
+def detail(items: DataFrame, evaluated: Column) -> DataFrame:
+    """The detail sheet: a row an item with labels, scores of two decimals, its state and the label of its first failure (- if none). Missing texts are empty."""
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    failure = F.coalesce(R.label(evaluate.primary_failure(F.col("types")), R.FAILURE_LABELS), F.lit("-"))
+    return items.select(
+        "qa_id", R.label(F.col("intent"), R.INTENT_LABELS).alias("intent"), text("context"), F.col("q").alias("question"), F.coalesce("a", F.lit("")).alias("answer"),
+        two_decimals("avg_quality").alias("quality"), two_decimals("rag").alias("triad"), R.label(evaluate.status(), R.STATUS_LABELS).alias("status"), failure.alias("failure"), evaluated.alias("evaluated"),
+    )
+
+
 def write_sheets(items: DataFrame, scores: list[str], folder: str) -> None:
     """The sheets ``stats`` and ``detail`` as CSV folders with headers."""
     statistics(items, scores).write.csv(f"{folder}/stats", header=True)
