@@ -60,3 +60,8 @@ def containing(rows: DataFrame, column: str, wanted: dict) -> DataFrame:
     for key, value in wanted.items():
         rows = rows.filter(F.try_variant_get(parsed, f"$.{key}", kinds[type(value)]) == F.lit(value))
     return rows
+
+
+def scan(rows: DataFrame, columns: list[str], order: list[str], cap: int | None) -> DataFrame:
+    """Some columns of the first ``cap`` rows, or of all: each task keeps its own first ones, and only those are merged."""
+    return rows.select(*columns) if cap is None else rows.orderBy(*order).limit(cap).select(*columns)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import vector
 from ..functions import verdicts as V
-from ..operators import export, tagging
+from ..operators import export, sampling, tagging
 from ..operators import json_objects as J
 from ..operators.keyed_table import KeyedTable
 from ..operators.stages import shared_folder
+from ..sources.files import docx_file, docx_rows
 from .adapters import CHUNKS, QA, doc_chunks, read
 from .evaluation import scored
 from .registry import query
@@ -140,3 +142,32 @@ PRIMARY = """CASE WHEN list_contains(types, 'hallucination') THEN '환각오류'
 def b11_detail(spark, sf_dir):
     """The detail sheet of the export (the triad's score is in other queries: two decimals of a binary tie differ between engines)."""
     return export.detail(scored(spark, sf_dir), F.lit("2024-01-01 09:00")).drop("triad")
+
+
+@query("a02_word_blocks", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), s AS (SELECT doc_id, i, trim(t, ' ' || chr(9) || chr(13)) AS t FROM l)
+  SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS block_idx, t AS text, CASE WHEN i = 1 THEN 18e0 WHEN i % 5 = 0 THEN 14e0 ELSE 11e0 END AS font_size FROM s WHERE t <> '' AND doc_id % 50 > 0
+  UNION ALL SELECT doc_id, NULL, NULL, NULL FROM documents WHERE doc_id % 50 = 0""")
+def a02_word_blocks(spark, sf_dir):
+    """Each text as a Word document (its first line a heading) and read back as blocks; every fiftieth file is damaged and gives an error."""
+
+    def run(frames):
+        for frame in frames:
+            styles = lambda i: "Heading1" if i == 0 else "heading 3" if i % 5 == 4 else None
+            files = [docx_file([(t, styles(i)) for i, t in enumerate((text or "").split("\n"))]) for text in frame["text"]]
+            yield pd.DataFrame({"path": frame["doc_id"].astype(str), "content": [f[: len(f) // 2] if k % 50 == 0 else f for k, f in zip(frame["doc_id"], files)]})
+
+    files = read(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(run, "path string, content binary")
+    return docx_rows(files).select(F.col("path").cast("bigint").alias("doc_id"), "block_idx", "text", "font_size")
+
+
+@query("b13_json_export", f"""WITH {QA} SELECT qa_id, '{{"qa_id":' || qa_id || ',"intent":"' || intent || '","avg_quality":"' || printf('%.2f', avg_quality) || '","relevance":"' || printf('%.2f', relevance) || '"}}' AS json FROM scored""")
+def b13_json_export(spark, sf_dir):
+    """Items as JSON with scores of two decimals."""
+    rows = scored(spark, sf_dir).select("qa_id", "intent", "avg_quality", "relevance")
+    return export.json_rows(rows, ["avg_quality", "relevance"]).select(F.get_json_object("json", "$.qa_id").cast("bigint").alias("qa_id"), "json")
+
+
+@query("a10_scan", f"WITH {CHUNKS} SELECT id, document_id, chunk_index FROM doc_chunks ORDER BY document_id, chunk_index LIMIT 5000")
+def a10_scan(spark, sf_dir):
+    """The first 5,000 chunks of a maintenance scan (the original's cap; ``cap=None`` scans all)."""
+    return sampling.scan(doc_chunks(spark, sf_dir), ["id", "document_id", "chunk_index"], ["document_id", "chunk_index"], 5000)

@@ -80,8 +80,8 @@ def _size(paragraph) -> float:
     return int(size.get(W + "val")) / 2 if size is not None else PLAIN
 
 
-def read_docx(spark: SparkSession, path: str) -> DataFrame:
-    """``path, block_idx, text, font_size, is_table, error`` of Word documents; a damaged file gives one row with an error."""
+def docx_rows(files: DataFrame) -> DataFrame:
+    """``path, block_idx, text, font_size, is_table, error`` of Word documents ``path, content``; a damaged file gives one row with an error."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -93,8 +93,29 @@ def read_docx(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((at, None, None, None, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["path", "block_idx", "text", "font_size", "is_table", "error"]).astype({"block_idx": "Int32", "is_table": "boolean", "font_size": "Float64"})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path).select("path", "content")
-    return files.mapInPandas(run, "path string, block_idx int, text string, font_size double, is_table boolean, error string")
+    return files.select("path", "content").mapInPandas(run, "path string, block_idx int, text string, font_size double, is_table boolean, error string")
+
+
+def read_docx(spark: SparkSession, path: str) -> DataFrame:
+    """``docx_rows`` of the files below a folder, read by Spark's own stores."""
+    return docx_rows(spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path))
+
+
+def docx_file(lines: list[tuple[str, str | None]]) -> bytes:
+    """A Word document of paragraphs: their texts, and names of styles."""
+    body = ElementTree.Element(W + "body")
+    for text, style in lines:
+        p = ElementTree.SubElement(body, W + "p")
+        if style:
+            ElementTree.SubElement(ElementTree.SubElement(p, W + "pPr"), W + "pStyle").set(W + "val", style)
+        # control characters have no place in XML
+        ElementTree.SubElement(ElementTree.SubElement(p, W + "r"), W + "t").text = "".join(c for c in text if c >= " " and c not in "\ufffe\uffff" or c in "\t")
+    document = ElementTree.Element(W + "document")
+    document.append(body)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", ElementTree.tostring(document, "utf-8", xml_declaration=True))
+    return out.getvalue()
 
 
 def page_blocks(spans: DataFrame) -> DataFrame:

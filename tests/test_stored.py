@@ -181,3 +181,32 @@ def test_detail_of_missing_values(spark):
     rows = spark.createDataFrame([(1, "odd", None, "q", None, None, 0.9, None, ["poor_context"])], "qa_id int, intent string, context string, q string, a string, avg_quality double, rag double, pass boolean, types array<string>")
     r = export.detail(rows.withColumn("pass", F.lit(False)), F.lit("now")).collect()[0]
     assert (r["intent"], r["context"], r["answer"], r["quality"], r["triad"], r["status"], r["failure"]) == ("odd", "", "", None, "0.90", "보류", "문맥부족")
+
+
+def test_word_files_as_a_data_source(spark, tmp_path):
+    from loomdoc.sources.files import docx_file, read_docx
+    from loomdoc.sources.word import Files, WordReader, register
+
+    (tmp_path / "in").mkdir()
+    for i in range(7):
+        (tmp_path / "in" / f"f{i}.docx").write_bytes(docx_file([(f"title {i}", "Heading2"), (" ", None), ("text\x01 <&>", None)]))
+    (tmp_path / "bad.DOCX").write_bytes(b"PK no archive")
+    (tmp_path / "empty.docx").write_bytes(docx_file([]))
+    (tmp_path / "note.txt").write_text("not read")
+    register(spark)
+    load = lambda path, **o: spark.read.format("word_blocks").options(**o).load(path)
+    rows = {(r["path"], r["block_idx"]): (r["text"], r["font_size"], r["is_table"], r["error"]) for r in load(str(tmp_path), partitionFiles="3").collect()}
+    want = {(f"{tmp_path}/in/f{i}.docx", k): x for i in range(7) for k, x in enumerate([(f"title {i}", 16.0, False, None), ("text <&>", 11.0, False, None)])}
+    error = rows.pop((f"{tmp_path}/bad.DOCX", None))
+    assert rows == want and error[:3] == (None, None, None) and error[3].startswith("BadZipFile")
+    assert {(r["path"].removeprefix("file:").replace("///", "/"), r["block_idx"]) for r in read_docx(spark, str(tmp_path / "in")).collect()} == set(want)
+    one = f"{tmp_path}/in/f4.docx"
+    assert load(one).count() == 2 and load(f"file://{tmp_path}").select("text").filter("text like 'title%'").count() == 7
+    reader = WordReader(str(tmp_path), 1 << 20, 3)
+    assert [len(p.paths) for p in reader.partitions()] == [3, 3, 3]
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In
+
+    rest = list(reader.pushFilters([In(("path",), (one, "other")), GreaterThan(("block_idx",), 0), EqualTo(("path",), one)]))
+    assert reader.partitions() == [Files([one])] and rest == [GreaterThan(("block_idx",), 0)]
+    with pytest.raises(Exception, match="nowhere"):
+        load(str(tmp_path / "nowhere")).collect()
