@@ -22,6 +22,12 @@ FUNCTIONS = [
          FROM (SELECT id, cosine_of(embedding, match_vectors.wanted) AS similarity FROM vectors) WHERE similarity > match_vectors.threshold) WHERE r <= match_vectors.n"""),
     # the level of a path in a hierarchy
     (None, "CREATE OR REPLACE TEMPORARY FUNCTION hierarchy_path(h1 STRING, h2 STRING, h3 STRING) RETURNS STRING RETURN coalesce(nullif(concat_ws(' > ', nullif(h1, ''), nullif(h2, ''), nullif(h3, '')), ''), 'Uncategorized')"),
+    # the metadata with three levels in place of its own, null ones too; no object, no value
+    (None, """CREATE OR REPLACE TEMPORARY FUNCTION patch_levels(metadata STRING, h1 STRING, h2 STRING, h3 STRING) RETURNS STRING RETURN
+       to_json(to_variant_object(map_concat(map_filter(try_variant_get(try_parse_json(metadata), '$', 'map<string,variant>'), (k, v) -> k NOT IN ('h1', 'h2', 'h3')),
+         map('h1', coalesce(h1::variant, parse_json('null')), 'h2', coalesce(h2::variant, parse_json('null')), 'h3', coalesce(h3::variant, parse_json('null'))))))"""),
+    # what stands at a path, as text
+    (None, "CREATE OR REPLACE TEMPORARY FUNCTION json_at(metadata STRING, path STRING) RETURNS STRING RETURN get_json_object(metadata, path)"),
 ]
 
 

@@ -99,9 +99,7 @@ def r13_rule_chain(spark, sf_dir):
 def s15_pages(spark, sf_dir):
     """Page of a stretch of each text, three lines being a page."""
     docs = read(spark, sf_dir, "documents")
-    lines = F.split("text", "\n", -1)
-    ends = F.transform(lines, lambda x, i: F.aggregate(F.slice(lines, 1, i), F.lit(0), lambda a, y: a + F.length(y) + 1))
-    offsets = F.transform(ends, lambda e, i: F.struct(e.alias("off"), F.floor(i / 3 + 1).alias("page")))
+    offsets = F.transform(blocks.line_starts(F.col("text")), lambda e, i: F.struct(e.alias("off"), F.floor(i / 3 + 1).alias("page")))
     chunk = F.substr("text", (1 + F.col("doc_id") * 7 % F.greatest(F.length("text"), F.lit(1))).cast("int"), F.lit(200))
     rows = docs.filter(T.strip(F.substring(chunk, 1, 60)) != "")
     return rows.select("doc_id", R.resolved_page(chunk, F.col("text"), offsets, F.lit(99)).cast("bigint").alias("page"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..functions import callable as C
 from ..functions import vector
 from ..functions import verdicts as V
 from ..operators import export, sampling, tagging
@@ -171,3 +172,12 @@ def b13_json_export(spark, sf_dir):
 def a10_scan(spark, sf_dir):
     """The first 5,000 chunks of a maintenance scan (the original's cap; ``cap=None`` scans all)."""
     return sampling.scan(doc_chunks(spark, sf_dir), ["id", "document_id", "chunk_index"], ["document_id", "chunk_index"], 5000)
+
+
+@query("b04_sql_patch", """SELECT event_id, '{"h1":"' || event_type || '","h2":null,"h3":"t' || (event_id % 5) || '","k":' || (props ->> '$.k') || '}' AS patched, CASE WHEN event_id % 2 = 0 THEN event_type END AS first FROM events""")
+def b04_sql_patch(spark, sf_dir):
+    """Levels patched and paths read by the session's SQL functions."""
+    C.register(spark)
+    kept = F.expr("""CASE WHEN event_id % 2 = 0 THEN '{"h1":"' || event_type || '"}' ELSE '[1]' END""")
+    read(spark, sf_dir, "events").withColumn("old", kept).createOrReplaceTempView("patched_events")
+    return spark.sql("SELECT event_id, patch_levels(props, event_type, NULL, concat('t', event_id % 5)) AS patched, json_at(old, '$.h1') AS first FROM patched_events")

@@ -1,5 +1,6 @@
 """Words in cells, the vector index, numbering, whole-run leaders, and answers that white space or broken values once made wrong."""
 
+import json
 import random
 
 import numpy as np
@@ -128,3 +129,8 @@ def test_functions_of_the_session(spark):
     assert spark.sql("SELECT * FROM match_vectors(null, 0.5D, 2)").count() == 0
     assert [r[0] for r in spark.sql("SELECT hierarchy_path(x, '', 'c') FROM VALUES ('a'), (null) t(x)").collect()] == ["a > c", "c"]
     assert spark.sql("SELECT hierarchy_path('', null, '')").first()[0] == "Uncategorized"
+    cases = ['{"h2":"old","x":[1,{"y":null}]}', "[1]", "broken"]
+    found = spark.createDataFrame([(c,) for c in cases] + [(None,)], "m string").selectExpr("patch_levels(m, 'a', NULL, 'it''s') AS p", "json_at(m, '$.x[0]') AS a").collect()
+    assert [r["p"] and json.loads(r["p"]) for r in found] == [{"h1": "a", "h2": None, "h3": "it's", "x": [1, {"y": None}]}, None, None, None] and [r["a"] for r in found] == ["1", None, None, None]
+    starts = spark.createDataFrame([("ab\n\nc\U0001f600\n",), ("",), (None,)], "t string").select(blocks.line_starts(F.col("t")).alias("s")).collect()
+    assert [r["s"] for r in starts] == [[0, 3, 4, 7], [0], None]
