@@ -210,3 +210,44 @@ def test_word_files_as_a_data_source(spark, tmp_path):
     assert reader.partitions() == [Files([one])] and rest == [GreaterThan(("block_idx",), 0)]
     with pytest.raises(Exception, match="nowhere"):
         load(str(tmp_path / "nowhere")).collect()
+
+
+def test_filters_spare_what_new_batches_need_not_read(spark, tmp_path):
+    import shutil
+
+    from loomdoc.functions.text import content_hash
+    from loomdoc.streaming import seen
+    from loomdoc.streaming.ingest import append_new
+
+    path = f"file://{tmp_path}/table"
+    chunks = lambda ids, d: spark.createDataFrame([(d, i, f"chunk number {x}") for i, x in enumerate(ids)], "document_id bigint, chunk_index int, content string").withColumn("content_hash", content_hash(F.col("content")))
+    state = lambda: sorted((r["batch"], r["document_id"], r["content"]) for r in spark.read.parquet(f"{path}/batches").collect())
+    assert append_new(chunks(range(2000), 1), path, 0) == []
+    want = sorted((0, 1, f"chunk number {x}") for x in range(2000))
+    assert state() == want
+    # new chunks: hardly a prefix is read, of the 150 or more that they have
+    assert len(append_new(chunks(range(5000, 5300), 1), path, 1)) < 20
+    want = sorted(want + [(1, 1, f"chunk number {x}") for x in range(5000, 5300)])
+    # stored ones are all found; under another document they are new
+    read = append_new(chunks([*range(1990, 2000), 5000, 7000], 1), path, 2)
+    assert 5 <= len(read) < 30
+    append_new(chunks(range(5), 2), path, 3)
+    want = sorted(want + [(2, 1, "chunk number 7000")] + [(3, 2, f"chunk number {x}") for x in range(5)])
+    assert state() == want
+    # a batch tried again comes to the same, also one larger than before
+    append_new(chunks([*range(1990, 2000), 5000, 7000], 1), path, 2)
+    append_new(chunks(range(5), 2), path, 3)
+    assert state() == want
+    append_new(chunks(range(200), 2), path, 3)
+    assert len(list((tmp_path / "table" / "filters" / "batch=3").glob("words=*"))) == 1
+    append_new(chunks(range(5), 2), path, 3)
+    assert state() == want
+    assert append_new(chunks([], 1), path, 4) == [] and state() == want
+    # without the filter of an earlier batch all prefixes are compared
+    shutil.rmtree(tmp_path / "table" / "filters" / "batch=0")
+    assert len(append_new(chunks(range(100), 1), path, 5)) > 60 and state() == want
+    keys = spark.range(20_000).select(F.col("id").alias("k"))
+    seen.add(keys.filter("k < 10000"), ["k"], f"{path}/other", 0)
+    got = seen.possible(keys, ["k"], f"{path}/other", 1)
+    assert got.filter("k < 10000").count() == 10_000 and got.filter("k >= 10000").count() < 150
+    assert seen.possible(keys, ["k"], f"{path}/other", 0).count() == 0
