@@ -10,6 +10,7 @@ its short shingles (its anchor): equal grams always collide, and as neighbours m
 Grams that collide are joined and verified by all of their words; a repeated one occurs elsewhere before, exactly but for case and white space.
 Overlapping and adjoining repeated grams form a run, exact to the word. Runs up to ``GAP`` words apart whose first copies
 lie as far apart in one document are one passage with an edit distance of ``GAP`` words at most between them.
+Passages with a few words changed, which may have no equal gram at all, are told from their anchors (see ``edited``). Those and runs may overlap, but none lies in another.
 The first copy of a gram (by doc_id, then place) stays; copies that lie in paragraphs that go count only if there is no other.
 
 Cases: null text counts as empty; repeated rows are one row; null doc_ids come first; empty tables give no rows. Other columns
@@ -18,51 +19,21 @@ are passed on by ``drop_repeats``. A document of which nothing is left goes; lin
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .clusters import BANDS, WordHashes, band_keys_of, gram_hashes, shifted, similar_components
 from .common import free_name, slices, written
+from .edited import GAP, SHINGLE, edited_passages, windows
 
 MIN_WORDS = 25
-#: Words of a unit at least; shorter sentences are joined with the next.
-UNIT = 8
-LONG, PICK = 40, 12
-#: Words of the shingles among whose hashes anchors are chosen.
-SHINGLE = 8
-#: Words that may differ between two runs of a passage.
-GAP = 3
 LEAST = -(2**63)
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
-SENTENCES = re.compile(r"(?<=[.!?。…])\s+")
-
-
-def units(line: str) -> list[list[str]]:
-    """Words of each unit of a line, cut at sentence ends and, in long sentences, after words a hash picks. Passages are not matched by them."""
-    out: list[list[str]] = []
-    now: list[str] = []
-    for sentence in SENTENCES.split(line):
-        words = sentence.split()
-        if len(words) > LONG:
-            for w in words:
-                now.append(w)
-                if len(now) >= UNIT and xxhash.xxh32_intdigest(w.lower().encode("utf-8", "surrogatepass"), 3) % PICK == 0:
-                    out.append(now)
-                    now = []
-        else:
-            now += words
-        if len(now) >= UNIT:
-            out.append(now)
-            now = []
-    if now:
-        out.append(now)
-    return out
 
 
 def row_hash() -> Column:
@@ -202,10 +173,12 @@ def paragraph_texts(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFra
 
 
 def placed_grams(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``gram, cut, doc_id, row, line, at`` of the grams of ``rows(doc_id, row, text, gone, anchors)`` that have one of the anchors.
+    """``gram, cut, doc_id, row, line, at`` of the grams of ``rows(doc_id, row, text, gone, anchors)`` that have one of the anchors, and of the
+    anchors themselves, with the words ``around`` (null for grams).
 
-    ``gone`` are lines that go; cut tells that words of the gram lie in them, and grams that lie wholly in them are left out."""
-    schema = pa.schema([("gram", pa.int64()), ("cut", pa.bool_()), ("doc_id", pa.int64()), ("row", pa.int64()), ("line", pa.int32()), ("at", pa.int32())])
+    ``gone`` are lines that go; cut tells that words of the gram lie in them, and grams that lie wholly in them are left out, as are anchors that touch them."""
+    schema = pa.schema([("gram", pa.int64()), ("cut", pa.bool_()), ("doc_id", pa.int64()), ("row", pa.int64()), ("line", pa.int32()), ("at", pa.int32()), ("around", pa.binary())])
+    k = min(SHINGLE, min_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -221,12 +194,18 @@ def placed_grams(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             before = np.concatenate([[0], np.cumsum(goes[w.line_of_batch]), np.zeros(min_words, np.int64)])
             lost = before[min_words : min_words + w.n] - before[: w.n]
             wanted = np.unique(b.column(4).flatten().to_numpy(zero_copy_only=False)).view(np.uint64)
+            seeds, shingles = w.anchors(min_words)
+            free = np.isin(shingles, wanted) & (before[seeds + k] == before[seeds])
+            seeds, shingles = seeds[free], shingles[free]
+            of = pa.array(w.text[seeds])
+            around = windows(w.hashes, seeds - w.at[seeds], w.end[seeds], seeds)
+            yield pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64)), pa.array(np.zeros(len(seeds), bool)), b.column(0).take(of), b.column(1).take(of), pa.array(w.line[seeds], pa.int32()), pa.array(w.at[seeds], pa.int32()), around], schema=schema)
             chosen = np.flatnonzero(fits & (lost < min_words) & np.isin(least, wanted))
             of = pa.array(w.text[chosen])
-            columns = [gram_hashes(w.hashes, min_words)[chosen].view(np.int64), lost[chosen] > 0, b.column(0).take(of), b.column(1).take(of), w.line[chosen], w.at[chosen]]
+            columns = [gram_hashes(w.hashes, min_words)[chosen].view(np.int64), lost[chosen] > 0, b.column(0).take(of), b.column(1).take(of), w.line[chosen], w.at[chosen], pa.nulls(len(chosen), pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if isinstance(c, np.ndarray) else c for c, f in zip(columns, schema)], schema=schema)
 
-    return rows.select("doc_id", "row", "text", "gone", "anchors").mapInArrow(run, "gram bigint, cut boolean, doc_id bigint, row bigint, line int, at int")
+    return rows.select("doc_id", "row", "text", "gone", "anchors").mapInArrow(run, "gram bigint, cut boolean, doc_id bigint, row bigint, line int, at int, around binary")
 
 
 RUNS = "doc_id bigint, row bigint, line int, n_words int, class_id bigint, first_doc_id bigint, from_unit int, to_unit int"
@@ -342,11 +321,17 @@ def repeated_passages(documents: DataFrame, sketched: DataFrame, whole: DataFram
     chosen = texts.join(todo, same_row(texts, todo)).select(texts["doc_id"], texts["row"], "text", "anchors")
     chosen = chosen.join(gone, same_row(chosen, gone), "left").select(chosen["doc_id"], chosen["row"], "text", "anchors", "gone")
     placed = written(placed_grams(chosen, min_words), "placed")
+    edited = edited_passages(placed.filter("around is not null").drop("cut", "line"), sketched, min_words)
+    placed = placed.filter("around is null").drop("around")
     place = F.struct("cut", "doc_id", "row", "at")
     first = placed.groupBy("gram").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", "first")
     later = placed.join(written(first, "first"), "gram").filter(place != F.col("first"))
     later = later.select("doc_id", "row", "line", "at", "gram", F.col("first.doc_id").alias("first_doc_id"), F.xxhash64("first.doc_id", "first.row").alias("of"), (F.col("first.at") - F.col("at")).alias("shift"))
-    found = joined_runs(later, min_words).union(copied_runs(copies, min_words)).withColumn("keep", F.lit(False))
+    # runs and edited passages that lie in another one of their row are not told again; of equal ones the run is
+    told = joined_runs(later, min_words).withColumn("edited", F.lit(False)).unionByName(edited.withColumn("edited", F.lit(True)))
+    before = Window.partitionBy("row", "doc_id").orderBy("from_unit", F.col("to_unit").desc(), "edited").rowsBetween(Window.unboundedPreceding, -1)
+    told = told.withColumn("so_far", F.max("to_unit").over(before)).filter("so_far IS NULL OR to_unit > so_far").drop("edited", "so_far")
+    found = told.union(copied_runs(copies, min_words)).withColumn("keep", F.lit(False))
     return found.select("doc_id", "row", "line", "n_words", "class_id", "first_doc_id", "keep", "from_unit", "to_unit")
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from loomdoc.llm import clusters, graph, passages, simhash
+from loomdoc.llm import clusters, edited, graph, passages, simhash
 from loomdoc.llm.bktree import BKTree
 
 
@@ -141,10 +141,75 @@ def test_repeated_passages(spark):
     assert not any(s in left[4]["text"] for s in sentences[1:]) and left[4]["text"].startswith(before[1][:200]) and left[4]["text"].endswith("the end") and left[4]["n_chars"] == len(left[4]["text"])
 
 
-def test_units_depend_on_their_words_alone():
-    a = passages.units("start of it One two three four five six seven eight nine. Next one has eight words in it here. End")
-    b = passages.units("Next one has eight words in it here. Other")
-    assert a[1] == b[0] and [w for u in a for w in u] == "start of it One two three four five six seven eight nine. Next one has eight words in it here. End".split()
+def test_edit_distance_within_a_band():
+    rng = random.Random(2)
+    for _ in range(300):
+        a, b = ([rng.randrange(3) for _ in range(rng.randrange(9))] for _ in range(2))
+        rows = [[i + j for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                rows[i][j] = min(rows[i - 1][j] + 1, rows[i][j - 1] + 1, rows[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+        for most in range(5):
+            assert edited.distance(a, b, most) == min(rows[-1][-1], most + 1)
+        # ends: the longest start of one that ends in a word equal to its counterpart, a fifth changed at most
+        a, b = ([rng.randrange(1, 4) for _ in range(12)] for _ in range(2))
+        b[:7] = a[rng.randrange(2) :][:7]
+        rows = {(i, j): max(i, j) if not i * j else 0 for i in range(13) for j in range(13)}
+        for i in range(1, 13):
+            for j in range(1, 13):
+                rows[i, j] = min(rows[i - 1, j] + 1, rows[i, j - 1] + 1, rows[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+        good = [(i, -rows[i - 1, j - 1]) for i in range(1, 13) for j in range(1, 13) if abs(i - j) <= edited.GAP and a[i - 1] == b[j - 1] and 5 * rows[i - 1, j - 1] <= i]
+        length, changed = edited.ends(np.array([a, a], np.uint16), np.array([b, [0] * 12], np.uint16))
+        assert (int(length[0]), -int(changed[0])) == max(good, default=(0, 0)) and length[1] == 0
+
+
+def planted(changes, kind, n, rng):
+    """Pairs of documents with a passage of 60 words, in the second with words replaced, dropped or put in, and the places of it there."""
+    words = lambda k: [f"e{rng.randrange(10**6)}" for _ in range(k)]
+    texts, places = [], []
+    for _ in range(n):
+        passage = words(60)
+        near = [[w] for w in passage]
+        for j in rng.sample(range(1, 59), changes):
+            near[j] = words(1) if kind == "replaced" else [] if kind == "dropped" else near[j] + words(1)
+        near = [w for x in near for w in x]
+        texts += [words(100) + passage + words(100), words(100) + near + words(100)]
+        places.append(range(100, 100 + len(near)))
+    return texts, places
+
+
+def test_edited_passages(spark):
+    rng = random.Random(77)
+    cases = [(c, kind) for c in (0, 1, 2, 3, 4) for kind in (("replaced", "dropped", "put in") if c else ("replaced",))]
+    texts, places = [], []
+    for c, kind in cases:
+        own, at = planted(c, kind, 30, rng)
+        texts += own
+        places += at
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(4)
+    rows = passages.repeats(docs).filter("from_unit >= 0").collect()
+    found = {}
+    for r in rows:
+        found.setdefault(r["doc_id"], set()).update(range(r["from_unit"], r["to_unit"] + 1))
+        assert r["first_doc_id"] == r["doc_id"] - 1 and r["n_words"] == r["to_unit"] + 1 - r["from_unit"] and r["line"] == 0
+    for k, case in enumerate(cases):
+        own = range(30 * k, 30 * (k + 1))
+        share = sum(len(found.get(2 * i + 1, set()) & set(places[i])) for i in own) / sum(len(places[i]) for i in own)
+        assert share >= (1 if case[0] == 0 else 0.9), case
+        assert all(found.get(2 * i + 1, set()) <= set(places[i]) for i in own)
+
+
+def test_edited_passages_do_not_depend_on_the_batches(spark):
+    rng = random.Random(5)
+    texts, _ = planted(2, "replaced", 12, rng)
+    texts = [" ".join(t[:90]) + "\n" + " ".join(t[90:]) for t in texts]
+    docs = spark.createDataFrame([(i if i else None, t) for i, t in enumerate(texts)] * 2, "doc_id bigint, text string")
+    got = []
+    for size, parts in ((1, 1), (7, 5), (10_000, 2)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got.append(sorted(tuple(r) for r in passages.repeats(docs.repartition(parts)).filter("from_unit >= 0").select("doc_id", "line", "from_unit", "to_unit").collect()))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got[0] == got[1] == got[2] and len(got[0]) >= 10 and all(line == 1 for _, line, _, _ in got[0])
 
 
 def test_passages_are_exact_wherever_they_are_cut(spark):
