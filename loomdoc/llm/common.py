@@ -6,6 +6,8 @@ import tempfile
 import time
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -16,6 +18,8 @@ _own: list[str] = []
 #: Seconds between two looks of the collector, and when the last was.
 FREE_SECONDS = 5.0
 _freed = [0.0]
+#: Tables written in the innermost ``cleared`` block.
+_made: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
@@ -44,6 +48,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
         _freed[0] = time.monotonic()
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
+    if (made := _made.get()) is not None:
+        made.append(out)
     return out
 
 
@@ -54,6 +60,20 @@ def removed(table: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def cleared() -> Iterator[list[DataFrame]]:
+    """Deletes the tables that ``written`` made in the block, unless they are taken out of the list it gives. Nothing that is
+    read after the block may depend on them."""
+    made: list[DataFrame] = []
+    token = _made.set(made)
+    try:
+        yield made
+    finally:
+        _made.reset(token)
+        for table in made:
+            removed(table)
+
+
 def batch(schema: pa.Schema, columns: dict[str, list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import removed, written
 
 #: Words of the shingles among whose hashes anchors are chosen.
 SHINGLE = 8
@@ -153,9 +153,11 @@ def edited_passages(seeds: DataFrame, sketched: DataFrame, min_words: int) -> Da
     Repeated rows are one row. Only the first copy of a seed is looked at, so work grows with the seeds, whatever the size of their groups; a document's
     passage goes only for one of an earlier document. Seeds with the same words all around on both sides lie in runs of equal grams and are left out."""
     firsts = seeds.groupBy("gram").agg(F.min(F.struct("doc_id", "row", "at", "around")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", "first")
-    met = seeds.join(written(firsts, "seeds"), "gram").filter((F.struct("doc_id", "row") != F.struct("first.doc_id", "first.row")) & (F.col("around") != F.col("first.around")))
+    firsts = written(firsts, "seeds")
+    met = seeds.join(firsts, "gram").filter((F.struct("doc_id", "row") != F.struct("first.doc_id", "first.row")) & (F.col("around") != F.col("first.around")))
     hits = met.select("row", "doc_id", F.xxhash64("first.doc_id", "first.row").alias("of"), "at", (F.col("first.at") - F.col("at")).alias("shift"), "gram", F.col("first.doc_id").alias("first_doc_id"), F.col("around").alias("own"), F.col("first.around").alias("other"))
     found = written(chains(hits, min_words), "edited")
+    removed(firsts)
     # the line in which a passage starts, from the words of each line
     docs = sketched.filter("line < 0").select(F.col("doc_id").alias("d"), F.col("row").alias("r"), "counts")
     line = F.expr("aggregate(counts, struct(0 AS words, 0 AS line), (a, n) -> struct(a.words + n AS words, a.line + int(a.words + n <= from_unit) AS line), a -> a.line)")

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .clusters import BANDS, WordHashes, band_keys_of, gram_hashes, shifted, similar_components
-from .common import free_name, slices, written
+from .common import cleared, free_name, removed, slices, written
 from .edited import GAP, SHINGLE, edited_passages, windows
 
 MIN_WORDS = 25
@@ -321,6 +321,7 @@ def repeated_passages(documents: DataFrame, sketched: DataFrame, whole: DataFram
     chosen = texts.join(todo, same_row(texts, todo)).select(texts["doc_id"], texts["row"], "text", "anchors")
     chosen = chosen.join(gone, same_row(chosen, gone), "left").select(chosen["doc_id"], chosen["row"], "text", "anchors", "gone")
     placed = written(placed_grams(chosen, min_words), "placed")
+    removed(again)
     edited = edited_passages(placed.filter("around is not null").drop("cut", "line"), sketched, min_words)
     placed = placed.filter("around is null").drop("around")
     place = F.struct("cut", "doc_id", "row", "at")
@@ -339,7 +340,9 @@ def repeats(documents: DataFrame, k: int = 5, similarity: float = 0.8, min_words
     """Members of repeated-paragraph classes (``from_unit`` -1) and repeated passages inside paragraphs, with their class, the
     document where it is first, and whether this copy stays. Passages that lie in paragraphs that go are not told again."""
     sketched = written(sketches(documents, k, min_words), "sketches")
-    whole = written(repeated_paragraphs(documents, sketched, k, similarity, min_words), "repeated")
+    with cleared() as made:
+        whole = written(repeated_paragraphs(documents, sketched, k, similarity, min_words), "repeated")
+        made.pop()
     return whole.unionByName(repeated_passages(documents, sketched, whole, min_words))
 
 

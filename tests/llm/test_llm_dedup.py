@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from loomdoc.llm import clusters, edited, graph, passages, simhash
+from loomdoc.llm import clusters, common, edited, graph, passages, simhash
 from loomdoc.llm.bktree import BKTree
 
 
@@ -339,3 +339,13 @@ def test_nulls_repeated_rows_and_clashing_columns(spark):
     assert left.columns == docs.columns
     assert sorted((str(r["doc_id"]), (r["text"] or "")[:5], r["_gone"]) for r in left.collect()) == [("9", "", "_gone5"), ("9", "", "_gone5"), ("None", "", "_gone4"), ("None", text[:5], "_gone1"), ("None", text[:5], "_gone2")]
     assert simhash.link_documents(docs).count() == len(rows)
+
+
+def test_tables_of_a_block_are_cleared_but_the_one_taken_out(spark):
+    with common.cleared() as made:
+        gone, kept = (common.written(spark.range(n), "block") for n in (3, 5))
+        assert made.pop() is kept
+    outside = common.written(spark.range(2), "block")
+    assert kept.count() == 5 and outside.count() == 2
+    with pytest.raises(Exception):
+        spark.read.schema(gone.schema).parquet(gone._written_at).count()
