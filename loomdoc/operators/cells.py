@@ -26,7 +26,8 @@ def words_in_cells(cells: DataFrame, words: DataFrame, page: str, keys: list[str
     own = own.withColumn("_gx", _squares(F.col("_cx0") - margin, F.col("_cx1") + margin, side)).withColumn("_gy", _squares(F.col("_cy0") - margin, F.col("_cy1") + margin, side))
     put = words.select(F.col(page).alias("_page"), F.struct(*order).alias("_order"), "word", *[F.col(c).cast("double").alias(f"_w{c}") for c in ("x0", "y0", "x1", "y1")])
     put = put.withColumn("_gx", F.floor(F.col("_wx0") / side)).withColumn("_gy", F.floor(F.col("_wy0") / side))
-    met = own.join(put, ["_page", "_gx", "_gy"])
+    # the planner knows only the size of the cells before they are dealt to squares, and would broadcast them, so each task would hold all
+    met = own.hint("merge").join(put, ["_page", "_gx", "_gy"])
     inside = (F.col("_cx0") - margin <= F.col("_wx0")) & (F.col("_wx1") <= F.col("_cx1") + margin) & (F.col("_cy0") - margin <= F.col("_wy0")) & (F.col("_wy1") <= F.col("_cy1") + margin)
     found = met.filter(inside).groupBy(F.col("_page").alias(page), *keys).agg(F.array_sort(F.collect_list(F.struct("_order", "word"))).alias("_words"))
     return found.select(page, *keys, F.array_join("_words.word", " ").alias("text"))

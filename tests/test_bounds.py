@@ -3,6 +3,15 @@
 from pyspark.sql import functions as F
 
 from loomdoc.functions import rules as R
+from loomdoc.operators import cells
+
+
+def test_cells_are_not_broadcast(spark):
+    own = spark.range(40).select(F.col("id").alias("page"), F.lit(0).alias("row"), F.lit(0).alias("x0"), F.lit(0).alias("y0"), F.lit(100).alias("x1"), F.lit(50).alias("y1"))
+    put = spark.range(400).select((F.col("id") % 40).alias("page"), F.col("id").alias("k"), F.lit(5).alias("x0"), F.lit(5).alias("y0"), F.lit(20).alias("x1"), F.lit(15).alias("y1"), F.lit("w").alias("word"))
+    found = cells.words_in_cells(own, put, "page", ["row"], ["k"])
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r["page"], r["text"]) for r in found.collect()} == {(p, "w w w w w w w w w w") for p in range(40)}
 
 
 def test_the_mean_of_glyphs_is_computed_once_a_text(spark):
