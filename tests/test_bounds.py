@@ -1,11 +1,14 @@
 """Steps whose work or memory once grew faster than their input: folds, cells and glyphs."""
 
+import random
 import sys
+from difflib import SequenceMatcher
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from loomdoc.functions import rules as R
-from loomdoc.operators import blocks, cells
+from loomdoc.operators import blocks, cells, similarity
 
 
 def test_a_fold_holds_a_document_at_a_time(spark):
@@ -35,3 +38,25 @@ def test_the_mean_of_glyphs_is_computed_once_a_text(spark):
     out = rows.select("id", R.glyph_text(F.col("g")).alias("t"))
     assert {r["id"]: r["t"] for r in out.collect()} == {1: "가b c", 2: "ab", 3: "가b", 4: "", 5: None, 6: "가"}
     assert out._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+
+
+def test_blocks_of_long_texts_lose_no_pair_and_leave_few():
+    rnd = random.Random(3)
+    pieces = [a + b for a in "the an in er on st re at en".split() for b in "th an is or ti ly ed".split()]
+    text = lambda n: " ".join("".join(rnd.choices(pieces, k=rnd.randrange(1, 4))) + rnd.choice(["", "", "", ",", "."]) for _ in range(n))
+    near = 0
+    for _ in range(600):
+        x = text(rnd.randrange(20, 70))
+        words = x.split(" ")
+        for _ in range(rnd.randrange(len(words) // 2)):
+            words[rnd.randrange(len(words))] = rnd.choice(["", "kqz", rnd.choice(words)])
+        y, limit = " ".join(words), rnd.choice([0.5, 0.7, 0.75, 0.9])
+        if SequenceMatcher(None, x, y).ratio() >= limit:
+            near += 1
+            assert similarity.may_have_blocks([x], [y], limit)[0, 0]
+            assert 2 * similarity.common_lengths([x], [y], np.array([[0, 0]]))[0] >= limit * (len(x) + len(y))
+    assert near > 100
+    others = [text(40) for _ in range(200)]
+    assert min(map(len, others)) >= similarity.POPULAR
+    assert similarity.may_have_blocks(others[:100], others[100:], 0.7).mean() < 0.3
+    assert similarity.may_have_blocks(["", "ab"], ["", "x" * 250], 0.7).shape == (2, 2)
