@@ -15,9 +15,7 @@ columns are not used.
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +28,6 @@ ROW = 2048
 #: Tokens that a task packs at a time.
 WINDOW = 1 << 21
 KEPT = 300_000
-#: White space beside a blank, or at an end.
-ODD = re.compile(r"\s | \s|^\s|\s$")
 
 
 def default_ranks() -> str:
@@ -40,6 +36,26 @@ def default_ranks() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+class Odd(Exception):
+    """White space beside a blank, or at an end, of a text."""
+
+
+class Parts(dict):
+    """Ids, as bytes, of parts of texts that follow a blank."""
+
+    def __init__(self, ids) -> None:
+        super().__init__()
+        self.ids = ids
+
+    def __missing__(self, part: str) -> bytes:
+        if not part or part[0].isspace() or part[-1].isspace():
+            raise Odd
+        if len(self) >= KEPT:
+            self.clear()
+        found = self[part] = self.ids(" " + part)
+        return found
+
+
 class Tokens:
     """Byte-pair tokens of whole texts. No token spans the place before a blank that follows a character other than white space,
     so texts are cut there and the ids of frequent parts are kept."""
@@ -52,23 +68,26 @@ class Tokens:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.encoder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.end = max(ranks.values()) + 1
-        self.kept: dict[str, list[int]] = {}
+        self.kind = np.dtype("<u2") if self.end < 1 << 16 else np.dtype("<u4")
+        self.kept = Parts(self.whole)
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.encoder.encode_ordinary(text), self.kind).tobytes()
+
+    def ids(self, text: str, tail: bytes = b"") -> np.ndarray:
+        """Ids of the text, and those of ``tail``."""
+        first, *parts = text.split(" ")
+        try:
+            # in a text without blanks nothing is cut, whatever white space it has
+            if parts and (not first or first[0].isspace() or first[-1].isspace()):
+                raise Odd
+            found = self.whole(first) + b"".join(map(self.kept.__getitem__, parts))
+        except Odd:
+            found = self.whole(text)
+        return np.frombuffer(found + tail, self.kind)
 
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        if ODD.search(text):
-            return self.encoder.encode_ordinary(text)
-        parts = text.split(" ")
-        kept, out = self.kept, list(self.encoder.encode_ordinary(parts[0]))
-        for x in parts[1:]:
-            ids = kept.get(x)
-            if ids is None:
-                if len(kept) >= KEPT:
-                    kept.clear()
-                ids = kept[x] = self.encoder.encode_ordinary(" " + x)
-            out += ids
-        return out
+        return self.ids(text).tolist()
 
 
 class Capacities:
@@ -135,7 +154,8 @@ def pack(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(ranks)
-        kind = np.dtype("<u2") if tokens.end < 1 << 16 else np.dtype("<u4")
+        kind = tokens.kind
+        end = np.array([tokens.end], kind).tobytes()
         held, total = [], 0
 
         def packed() -> pa.RecordBatch:
@@ -150,7 +170,7 @@ def pack(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
         for b in slices(batches):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = np.fromiter(chain(tokens.encode(text or ""), (tokens.end,)), kind)
+                ids = tokens.ids(text or "", end)
                 for start in range(0, len(ids), size):
                     held.append((doc_id, start, ids[start : start + size]))
                 total += len(ids)
