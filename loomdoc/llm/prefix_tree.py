@@ -76,10 +76,10 @@ class PrefixTree:
         """Members not joined with member ``own`` (whose set is ``q``), with the overlap of what both know, that may be (or, with whole sets, are) similar."""
         known, mine, limit, size, root = q.known, q.own, q.limit, q.size, self.joined.root
         num, both = self.num, self.num + self.den
-        todo = [(self.root, 0, 0)]
+        todo, mine_root = [(self.root, 0, 0)], root(own)
         while todo:
             node, overlap, depth = todo.pop()
-            if node.same >= 0 and root(node.same) == root(own):
+            if node.same >= 0 and root(node.same) == mine_root:
                 continue
             run, fits = node.run, True
             for start in range(0, len(run), RUN):
@@ -95,13 +95,19 @@ class PrefixTree:
             if not fits:
                 continue
             for j in node.ends:
-                if root(j) != root(own):
+                if root(j) != mine_root:
                     other = self.members[j]
                     ends = min(limit, other.limit)
                     left = min(size - bisect_left(known, ends), other.size - (depth if other.limit <= limit else bisect_left(other.known, ends)))
                     if both * (overlap + left) >= num * (size + other.size):
                         yield j, overlap
-            todo += [(below, overlap, depth) for below in node.below.values()]
+                        # who asks may have joined the two
+                        mine_root = root(own)
+            for first, below in node.below.items():
+                # some subtrees fail by their first element, before their run is looked at
+                left = min(size - bisect_right(known, first), below.most - depth - 1) if first < limit else below.most
+                if both * (overlap + (first in mine) + left) >= num * (size + below.least):
+                    todo.append((below, overlap, depth))
 
 
 def similar(members: list[Member], num: int, den: int) -> list[tuple]:
