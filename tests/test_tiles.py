@@ -61,3 +61,28 @@ def test_runs_of_many_groups(spark):
     for group in (1, 7, 1000):
         found = similarity.near_pairs(rows, "k", "n", "t", 0.7, False, group).collect()
         assert sorted((r["k"], r["older"], r["newer"]) for r in found) == sorted((k, i, j) for k in "ab" for i, j in want)
+
+
+@pytest.mark.parametrize("name", ["g14_statistics_layer", "q08_final_with_statistics"])
+def test_texts_of_contexts_are_not_shuffled(spark, tmp_path, name):
+    from loomdoc import catalog
+
+    def shuffled(size: int) -> int:
+        folder = str(tmp_path / str(size))
+        rnd = random.Random(2)
+        docs = [(n, "".join(rnd.choices("abcdefghijklmnop ", k=size)), "en", f"s{n % 3}", size) for n in range(40)]
+        spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{folder}/documents.parquet")
+        turns = [(n, t, role, f"{role} number {n * 7919 % 1000} says") for n in range(40) for t, role in enumerate(("user", "assistant"))]
+        spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+        spark.createDataFrame([(n, 1, 0) for n in range(40)], "doc_id bigint, quality bigint, toxic bigint").write.parquet(f"{folder}/labels.parquet")
+        store = spark.sparkContext._jsc.sc().statusStore()
+        before = store.executorSummary("driver").totalShuffleWrite()
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            assert len(catalog.QUERIES[name](spark, folder).collect()) == 1
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        return store.executorSummary("driver").totalShuffleWrite() - before
+
+    # 40 texts of 20,000 characters are some 500,000 bytes
+    assert shuffled(20_000) < shuffled(100) + 100_000
